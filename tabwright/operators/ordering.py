@@ -75,13 +75,19 @@ def after(order: list[str], cut: tuple) -> Column:
     return result
 
 
-def slot(order: list[str], cuts: list[tuple], first: int = 0) -> Column:
-    """How many of the sorted ``cuts`` the row's key lies after, as a balanced CASE tree."""
+def slot(order: list[str], cuts: list[tuple]) -> Column:
+    """How many of the sorted ``cuts`` the row's key lies strictly after.
+
+    A binary search over one literal array, so that the expression stays small whatever the
+    number of cuts (a CASE chain over 100 composite keys no longer compiles).
+    """
     if not cuts:
-        return F.lit(first)
-    mid = len(cuts) // 2
-    return F.when(after(order, cuts[mid]), slot(order, cuts[mid + 1:], first + mid + 1)).otherwise(
-        slot(order, cuts[:mid], first))
+        return F.lit(0)
+    key = F.struct(*[F.col(c).alias(c) for c in order])
+    table = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(order, cut)]) for cut in cuts])
+    widths = [1 << i for i in reversed(range(len(cuts).bit_length()))]
+    return F.aggregate(F.array(*[F.lit(w) for w in widths]), F.lit(0), lambda at, w: F.when(
+        (at + w <= len(cuts)) & (key > F.try_element_at(table, at + w)), at + w).otherwise(at))
 
 
 def value_ranks(df: DataFrame, value: str, weight: Column | None = None) -> DataFrame:

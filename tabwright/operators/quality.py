@@ -67,13 +67,22 @@ def target_rate(df: DataFrame, target: str) -> DataFrame:
     return df.agg(F.round(F.avg(target), 2).alias("target_rate"))
 
 
+def pearson(a, b) -> Column:
+    """Correlation over the rows where both are present; NULL when either is constant there."""
+    a = F.col(a) if isinstance(a, str) else a
+    b = F.col(b) if isinstance(b, str) else b
+    both = a.isNotNull() & b.isNotNull()
+    a, b = F.when(both, a), F.when(both, b)
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def correlations(df: DataFrame, cols: list[str], digits: int | None = None) -> DataFrame:
     """Pearson correlation of every column pair (pairwise complete rows), long form."""
     pairs = list(combinations(cols, 2))
     rows = []
     for i in range(0, len(pairs), _PER_JOB):
         part = pairs[i:i + _PER_JOB]
-        got = df.agg(*[F.corr(a, b) for a, b in part]).first()
+        got = df.agg(*[pearson(a, b) for a, b in part]).first()
         rows += [(a, b, r) for (a, b), r in zip(part, got)]
     out = report(df.sparkSession, rows, "col_a string, col_b string, r double")
     return out.withColumn("r", F.round("r", digits)) if digits is not None else out

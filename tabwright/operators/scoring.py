@@ -14,7 +14,7 @@ from tabwright.functions.draws import INCREMENT, MODULUS, MULTIPLIER, MULTIPLIER
 from tabwright.functions.protected import BUILT_IN, Scalar
 from tabwright.operators.expressions import sigmoid, to_column, to_vector
 from tabwright.operators.ordering import value_ranks
-from tabwright.operators.quality import long_form
+from tabwright.operators.quality import long_form, pearson
 from tabwright.operators.splits import in_bag
 from tabwright.session import attach, stage
 
@@ -49,7 +49,7 @@ def _mean(e: Column, w: Column) -> Column:
 def _pearson(y: Column, f: Column, w: Column) -> Column:
     """Correlation of (y, f) for 0/1 weights; general weights go through ``score``."""
     keep = w > 0
-    r = F.abs(F.corr(F.when(keep, y), F.when(keep, f)))
+    r = F.abs(pearson(F.when(keep, y), F.when(keep, f)))
     return F.coalesce(F.when(~F.isnan(r), r), F.lit(0.0))
 
 
@@ -205,25 +205,27 @@ def _draw_vector(key: np.ndarray, salt: int) -> np.ndarray:
 
 
 def _arrow_chunk(df, programs, features, target, m, weight, functions, transform, val, bag):
-    cols = [F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)]
+    used = sorted({n[2] for _, nodes in programs for n in nodes if n[0] == "x"})
+    cols = [F.col(features[i]).cast("double").alias(f"x{i}") for i in used]
     rows = df.select(*cols, F.col(target).cast("double").alias("y"),
                      (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"),
                      (F.col(val) if val else F.lit(False)).alias("v"),
                      (F.col(bag[0]).cast("bigint") if bag else F.lit(0).cast("bigint")).alias("k"))
     names = list(_parts(weight, val, bag, 0))
     d, kind, squash = len(features), m.moment, transform is not None
+    sig = BUILT_IN["sig"].vector
 
     def partial(batches):
         held: dict = {}
         for pdf in batches:
-            x = [pdf[f"x{i}"].to_numpy(dtype=float) for i in range(d)]
+            x = [pdf[f"x{i}"].to_numpy(dtype=float) if i in used else None for i in range(d)]
             y, w = pdf["y"].to_numpy(dtype=float), pdf["w"].to_numpy(dtype=float)
             v, k = pdf["v"].to_numpy(dtype=bool), pdf["k"].to_numpy()
             train = np.where(v, 0.0, w)
             for pid, nodes in programs:
                 f = np.broadcast_to(np.asarray(to_vector(nodes, x, functions), dtype=float), y.shape)
                 if squash:
-                    f = functions["sig"].vector(f) if "sig" in functions else BUILT_IN["sig"].vector(f)
+                    f = sig(f)
                 masks = [train]
                 inside = None
                 if bag and bag[2] < 1.0:

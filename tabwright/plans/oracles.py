@@ -54,6 +54,10 @@ def union(rows) -> str:
     return "\nUNION ALL ".join(rows)
 
 
+def digits(e: str) -> str:
+    return f"CASE WHEN abs({e}) > 1e6 THEN round({e}, 0) ELSE round({e}, 5) END"
+
+
 def q(col: str, p: float) -> str:
     return f"quantile_cont({col}, {p})"
 
@@ -142,7 +146,7 @@ FROM scores s JOIN b ON s.method = b.method GROUP BY s.method"""
 SQL["fold_mean_sorted"] = with_(SCORES) + "SELECT method, round(avg(error), 8) AS error FROM scores GROUP BY method"
 SQL["mean_covariance"] = with_(OBS) + union(
     f"SELECT '{a}' AS col_a, '{b}' AS col_b, round((SELECT avg({a}) FROM obs), 5) AS mean_a, "
-    f"round(covar_samp({a}, {b}), 5) AS cov FROM obs"
+    f"{digits(f'covar_samp({a}, {b})')} AS cov FROM obs"
     for a in ("f_tax", "f_size", "f_order") for b in ("f_tax", "f_size", "f_order"))
 
 # --- splits
@@ -336,7 +340,7 @@ SQL["woe_encode"] = _BOTH + """SELECT b.*, coalesce((SELECT arg_min(woe, max_val
  coalesce((SELECT max(woe) FROM ev WHERE var_name = 'x_lang' AND category = b.x_lang), 0) AS "WOE_x_lang"
 FROM binary_obs b"""
 SQL["gram_matrix"] = with_(OBS) + union(
-    f"SELECT '{a}' AS col_a, '{b}' AS col_b, round(covar_pop({a}, {b}), 5) AS cross FROM obs"
+    f"SELECT '{a}' AS col_a, '{b}' AS col_b, {digits(f'covar_pop({a}, {b})')} AS cross FROM obs"
     for a in [*NUMERIC, "signal"] for b in [*NUMERIC, "signal"])
 SQL["vif"] = with_(OBS, """g AS (SELECT sum(f_size * f_size) AS aa, sum(f_size2 * f_size2) AS bb,
  sum(f_retail * f_retail) AS cc, sum(f_size * f_size2) AS ab, sum(f_size * f_retail) AS ac,

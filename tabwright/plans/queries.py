@@ -29,6 +29,11 @@ def rounded(df: DataFrame, digits: int, cols: list[str] | None = None) -> DataFr
     return df.withColumns({c: F.round(c, digits) for c in names})
 
 
+def _digits(c: Column) -> Column:
+    """Five decimals, none where a double has no more to give."""
+    return F.when(F.abs(c) > 1e6, F.round(c, 0)).otherwise(F.round(c, 5))
+
+
 def _obs(spark, sf_dir, *cols) -> DataFrame:
     df = fixtures.obs(spark, sf_dir)
     return df.select(*cols) if cols else df
@@ -175,7 +180,8 @@ def mean_covariance(spark, sf_dir):
     c = m.covariance()
     rows = [(a, b, float(m.mean[i]), float(c[i, j])) for i, a in enumerate(m.names)
             for j, b in enumerate(m.names)]
-    return rounded(spark.createDataFrame(rows, "col_a string, col_b string, mean_a double, cov double"), 5)
+    out = spark.createDataFrame(rows, "col_a string, col_b string, mean_a double, cov double")
+    return rounded(out, 5, ["mean_a"]).withColumn("cov", _digits(F.col("cov")))
 
 
 # --- splits ----------------------------------------------------------------------------------------------
@@ -421,7 +427,8 @@ def gram_matrix(spark, sf_dir):
     m = gram.moments(_obs(spark, sf_dir, *NUMERIC, "signal"), [*NUMERIC, "signal"])
     g = m.scatter() / m.n
     rows = [(a, b, float(g[i, j])) for i, a in enumerate(m.names) for j, b in enumerate(m.names)]
-    return rounded(spark.createDataFrame(rows, "col_a string, col_b string, cross double"), 5)
+    out = spark.createDataFrame(rows, "col_a string, col_b string, cross double")
+    return out.withColumn("cross", _digits(F.col("cross")))
 
 
 @query
