@@ -564,6 +564,10 @@ _DIFF = """df AS (SELECT a.fold, a.error - b.error AS d FROM scores a JOIN score
  WHERE a.method = 'click' AND b.method = 'view')"""
 SQL["ttest_rel"] = SQL["ttest_1samp"] = with_(SCORES, _DIFF) + """
 SELECT round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 8) AS t, CAST(count(*) - 1 AS DOUBLE) AS dof FROM df"""
+# Student's t at 9 degrees of freedom: |t| > 1.833113 is p/2 < 0.05 (ten matched folds).
+SQL["one_tailed"] = with_(SCORES, _DIFF) + """
+SELECT t > 1.8331129326536335 AS greater, t < -1.8331129326536335 AS less
+FROM (SELECT avg(d) / (stddev_samp(d) / sqrt(count(*))) AS t FROM df)"""
 SQL["wilcoxon"] = with_(SCORES, _DIFF, """rk AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1)
  / 2.0E0 AS r, count(*) OVER (PARTITION BY abs(d)) AS t FROM df WHERE d <> 0)""", """s AS (SELECT
  least(sum(CASE WHEN d > 0 THEN r ELSE 0 END), sum(CASE WHEN d < 0 THEN r ELSE 0 END)) AS w, count(*) AS n,

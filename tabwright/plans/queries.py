@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from tabwright.functions.draws import uniform
 from tabwright.functions.protected import BUILT_IN
-from tabwright.operators import (columns, decompose, expressions, gram, impute, linear, neighbours,
-                                 ordering, outliers, population, quality, scaling, scoring,
-                                 significance, splits, synthetic, worth)
+from tabwright.operators import (breeding, columns, decompose, expressions, gram, impute, linear,
+                                 model_impute, neighbours, ordering, outliers, population, quality,
+                                 scaling, scoring, significance, splits, symbolic, synthetic, trees, worth)
+from tabwright.plans import study
 from tabwright.sources import fixtures, tables
 from tabwright.sources.fixtures import OBS_EXEMPT, OBS_FEATURES, OBS_KEY
 from tabwright.session import new_path, stage
@@ -490,16 +491,14 @@ def explained_variance(spark, sf_dir):
 
 @query
 def outlier_benchmark(spark, sf_dir):
-    from tabwright.plans.study import outlier_benchmark as run
     df = _obs(spark, sf_dir, *OBS_KEY, *NUMERIC, "signal")
-    return linear.mean_scores(run(df, OBS_KEY, NUMERIC, ["f_order", "f_spiky"], "signal", 20))
+    return linear.mean_scores(study.outlier_benchmark(df, OBS_KEY, NUMERIC, ["f_order", "f_spiky"], "signal", 20))
 
 
 @query
 def selector_benchmark(spark, sf_dir):
-    from tabwright.plans.study import selector_benchmark as run
     df = _obs(spark, sf_dir, *OBS_KEY, *NUMERIC, "signal")
-    return run(df, OBS_KEY, NUMERIC, "signal", 20)
+    return study.selector_benchmark(df, OBS_KEY, NUMERIC, "signal", 20)
 
 
 @query
@@ -615,9 +614,8 @@ def kmeans_inertia(spark, sf_dir):
 
 @query
 def synthetic_scaled(spark, sf_dir):
-    from tabwright.plans.study import scaled_synthetic
     df = _obs(spark, sf_dir, *OBS_KEY, "f_tax", "f_size", "signal", "gender", "year_collect")
-    return scaled_synthetic(df, OBS_KEY, ["f_tax", "f_size", "gender", "year_collect"], "signal", 3, 0.5, 1,
+    return study.scaled_synthetic(df, OBS_KEY, ["f_tax", "f_size", "gender", "year_collect"], "signal", 3, 0.5, 1,
                             ["gender", "year_collect"])
 
 
@@ -946,5 +944,159 @@ def wilcoxon(spark, sf_dir):
 @query
 def study_slice(spark, sf_dir):
     """Flagship: labelled rows, holdout, fill, winsorize, scale, one regression per feature."""
-    from tabwright.plans.study import flagship
-    return flagship(_obs(spark, sf_dir))
+    return study.flagship(_obs(spark, sf_dir))
+
+
+# --- models ----------------------------------------------------------------------------------------------------------------------------
+
+
+MODEL_COLS = ["f_tax", "f_size", "f_retail", "f_spiky"]
+
+
+def _modelling(spark, sf_dir):
+    return stage(_obs(spark, sf_dir, *OBS_KEY, "k", *MODEL_COLS, "signal"), "modelling")
+
+
+@query
+def forest_importance(spark, sf_dir):
+    return trees.importance_rank("forest", _modelling(spark, sf_dir), MODEL_COLS, "signal", 1, numTrees=10, maxDepth=6)
+
+
+@query
+def extra_trees_importance(spark, sf_dir):
+    return trees.importance_rank("extra_trees", _modelling(spark, sf_dir), MODEL_COLS, "signal", 1, n_trees=5, maxDepth=6)
+
+
+@query
+def tree_importance(spark, sf_dir):
+    return trees.importance_rank("tree", _modelling(spark, sf_dir), MODEL_COLS, "signal", 1, maxDepth=6)
+
+
+@query
+def importance_vote(spark, sf_dir):
+    """All seven methods: chi2, univariate regression, forest, elimination, extra trees, tree, information value."""
+    df = _modelling(spark, sf_dir).join(
+        _obs(spark, sf_dir, *OBS_KEY, "year_collect"), OBS_KEY)
+    df = stage(worth.binarise(df, "signal", "y01"), "vote")
+    chi = worth.chisq_rank(df, MODEL_COLS, "year_collect")
+    _, iv = worth.data_vars(df, MODEL_COLS, "y01")
+    iv_rank = worth.average_rank(iv.withColumnRenamed("var_name", "feature"), "iv", "rank")
+    ranks = {"chi2": chi, "linreg": worth.univariate_ols(df, MODEL_COLS, "signal"),
+             "rf": trees.importance_rank("forest", df, MODEL_COLS, "signal", 1, maxDepth=5),
+             "rfe": worth.rfe(df, MODEL_COLS, "signal"),
+             "extratrees": trees.importance_rank("extra_trees", df, MODEL_COLS, "signal", 1, n_trees=3, maxDepth=5),
+             "dt": trees.importance_rank("tree", df, MODEL_COLS, "signal", 1, maxDepth=5), "iv": iv_rank}
+    return worth.vote(ranks, chi)
+
+
+@query
+def tree_cv(spark, sf_dir):
+    return trees.cross_val_score(["tree", "forest"], _modelling(spark, sf_dir), MODEL_COLS, "signal", "k", 3)
+
+
+def _tuned_error(spark, sf_dir, name, grid):
+    train, test = splits.train_test_split(_modelling(spark, sf_dir), "k", 7)
+    model = trees.tune(name, grid, train, MODEL_COLS, "signal", "k", 3, 1)
+    return linear.error_metrics(model.transform(test), "signal", "prediction")
+
+
+@query
+def forest_grid(spark, sf_dir):
+    return _tuned_error(spark, sf_dir, "forest", {"numTrees": [5, 10], "maxDepth": [5]})
+
+
+@query
+def gbt_cv(spark, sf_dir):
+    return _tuned_error(spark, sf_dir, "boosting", {"maxIter": [5], "stepSize": [0.1, 0.2]})
+
+
+@query
+def bagging(spark, sf_dir):
+    return _tuned_error(spark, sf_dir, "bagging", {"numTrees": [5], "bootstrap": [True, False]})
+
+
+@query
+def adaboost_r2(spark, sf_dir):
+    train, test = splits.train_test_split(_modelling(spark, sf_dir), "k", 7)
+    model = trees.fit_adaboost(train, MODEL_COLS, "signal", 1, n_estimators=6, learning_rate=0.5)
+    return linear.error_metrics(model.transform(test), "signal", "prediction")
+
+
+@query
+def impute_models(spark, sf_dir):
+    df = _obs(spark, sf_dir, *OBS_KEY, "k", "f_qty", "f_disc", "f_tax", "f_size", "f_spiky")
+    train, test = splits.train_test_split(df, "k", 7)
+    filled, _, _ = model_impute.impute_with_models(
+        train, test, ["f_qty", "f_disc", "f_tax", "f_size", "f_spiky"], OBS_KEY, 2,
+        ("bayesian_ridge", "tree"), 1)
+    return filled
+
+
+@query
+def generalisation(spark, sf_dir):
+    df = _obs(spark, sf_dir, *OBS_KEY, "k", "f_qty", "f_disc", "f_tax", "f_size", "f_spiky", *OBS_EXEMPT, "target")
+    return study.generalisation(
+        df, "k", OBS_KEY, ["f_qty", "f_disc", "f_tax", "f_size", "f_spiky", *OBS_EXEMPT], "target", OBS_EXEMPT, [0],
+        [(True, True, False, False), (True, True, True, True)], {"forest": {"numTrees": [5], "maxDepth": [4]}}, 4, 2)
+
+
+# --- symbolic runs -------------------------------------------------------------------------------------------------------------------------
+
+
+SYMBOLIC = ["f_tax", "f_size", "f_spiky"]
+
+
+@query
+def initial_population(spark, sf_dir):
+    """One random program per customer: the id is the deme-wide slot."""
+    g = breeding.Grammar(["add", "sub", "mul", "div", "sqrt", "log"], 3)
+    ids = fixtures.pop(spark, sf_dir).select(
+        F.lit(0).alias("run_seed"), F.lit(0).alias("deme"), F.col("program_id").cast("int").alias("program_id"),
+        F.lit(0).alias("generation"))
+    made = ids.withColumn("nodes", breeding.random_program(g, breeding._draws(1)))
+    return expressions.inspect(made, g.table()).select("program_id", "valid", "length", "depth", "text")
+
+
+@query
+def breed_generation(spark, sf_dir):
+    """One offspring per customer's program; demes are nations, so groups stay small."""
+    g = breeding.Grammar(["add", "sub", "mul", "div", "sqrt", "log", "max", "min"], 8)
+    pop = _program_table(spark, sf_dir).join(
+        _scored(spark, sf_dir).select(F.col("program_id").cast("int").alias("program_id"), "fitness"), "program_id")
+    placed = pop.select(F.lit(0).alias("run_seed"), (F.col("program_id") % 50).alias("deme"), "program_id",
+                        F.lit(0).alias("generation"), "nodes", "fitness")
+    v = breeding.Variation({m: 1.0 / 13 for m in breeding.METHODS}, "tournament", 3)
+    size = 50
+    child = breeding.breed(breeding.measured(placed, g), g, v, size, 1, 5)
+    return expressions.inspect(child, g.table()).select("deme", "program_id", "method", "valid", "length", "text")
+
+
+@query
+def symbolic_regress(spark, sf_dir):
+    df = _obs(spark, sf_dir, *OBS_KEY, "k", *SYMBOLIC, "signal")
+    est = symbolic.SymbolicRegressor(population_size=60, generations=3, val_share=0.1, seed=3)
+    est.fit(df, SYMBOLIC, "signal", "k", OBS_KEY)
+    return linear.error_metrics(est.transform(df), "signal", "prediction")
+
+
+@query
+def symbolic_classify(spark, sf_dir):
+    df = _obs(spark, sf_dir, *OBS_KEY, "k", *SYMBOLIC, "signal").withColumn("big", (F.col("signal") > 60).cast("int"))
+    est = symbolic.SymbolicClassifier(population_size=40, generations=2, seed=3).fit(df, SYMBOLIC, "big", "k", OBS_KEY)
+    return est.transform(df).groupBy("big", "prediction").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def symbolic_transform(spark, sf_dir):
+    df = _obs(spark, sf_dir, *OBS_KEY, "k", *SYMBOLIC, "signal")
+    est = symbolic.SymbolicTransformer(population_size=40, generations=2, seed=3, hall_of_fame=10, n_components=3)
+    return est.fit_transform(df, SYMBOLIC, "signal", "k", unique_key=OBS_KEY).drop(*SYMBOLIC, "signal")
+
+
+@query
+def symbolic_islands(spark, sf_dir):
+    df = _obs(spark, sf_dir, *OBS_KEY, "k", *SYMBOLIC, "signal")
+    est = symbolic.SymbolicRegressor(population_size=10, generations=2, seed=3,
+                                     islands=symbolic.Islands(deme_size=8, maturation=2, p_gsgp_demes=0.3))
+    est.fit(df, SYMBOLIC, "signal", "k", OBS_KEY)
+    return est.run_details(spark).drop("generation_time")
