@@ -9,7 +9,7 @@ from itertools import product
 
 import numpy as np
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
@@ -115,18 +115,28 @@ class ExtraTrees:
 
 
 def _cut(df: DataFrame, cuts: dict[str, list[float]]) -> DataFrame:
-    return df.withColumns({f"_b_{c}": reduce(lambda a, b: a + b, [
-        (F.col(c) > x).cast("double") for x in at]) for c, at in cuts.items()})
+    """Ordinal bins between the cuts (a binary search inside the JVM)."""
+    ends = [-math.inf, math.inf]
+    return Bucketizer(splitsArray=[[ends[0], *at, ends[1]] for at in cuts.values()], handleInvalid="keep",
+                      inputCols=list(cuts), outputCols=[f"_b_{c}" for c in cuts]).transform(df)
+
+
+def _random_cuts(rng, low: float, high: float, levels: int) -> list[float]:
+    """Cut a range at random, then both parts, and so on: the cuts a random tree would meet."""
+    if levels == 0 or not low < high:
+        return []
+    at = float(rng.uniform(low, high))
+    return [*_random_cuts(rng, low, at, levels - 1), at, *_random_cuts(rng, at, high, levels - 1)]
 
 
 def fit_extra_trees(df: DataFrame, features: list[str], target: str, seed: int = 0, n_trees: int = 10,
-                    n_cuts: int = 12, **params) -> ExtraTrees:
-    rows = _trainable(df, features, target)
+                    levels: int = 6, **params) -> ExtraTrees:
+    rows = stage(_trainable(df, features, target), "extra")
     ranges = fit_minmax(rows, features).ranges
     rng = np.random.default_rng(seed)
     members = []
     for i in range(n_trees):
-        cuts = {c: sorted(rng.uniform(*ranges[c], n_cuts).tolist()) for c in features}
+        cuts = {c: sorted(set(_random_cuts(rng, *ranges[c], levels))) for c in features}
         ready = assembled(_cut(rows, cuts), [f"_b_{c}" for c in features])
         members.append((cuts, estimator("tree", target, seed + i, **params).fit(ready)))
     return ExtraTrees(tuple(features), tuple(members))
