@@ -42,7 +42,7 @@ def _numbered(df: DataFrame, order: list, totals: dict[str, Column], position: s
             Window.unboundedPreceding, Window.currentRow)
         for n, e in totals.items():
             out = out.withColumn(n, F.col(f"_b_{n}") + F.coalesce(F.sum(e).over(w), F.lit(0.0)))
-    return out.drop("_block", "_local", "_before", *[f"_b_{n}" for n in totals]), seen
+    return out.drop("_block", "_local", "_before", *[f"_b_{n}" for n in totals]), seen, blocks
 
 
 def running(df: DataFrame, order: list, totals: dict[str, Column] | None = None,
@@ -58,11 +58,10 @@ def keys_at(df: DataFrame, order: list[str], positions) -> tuple[dict[int, tuple
     ``positions`` is a list, or a function of the row count. Only key columns are shuffled and
     only the wanted rows reach the driver.
     """
-    numbered, n = _numbered(df.select(*order), [F.col(c) for c in order], {}, "position")
+    numbered, n, blocks = _numbered(df.select(*order), [F.col(c) for c in order], {}, "position")
     wanted = sorted({p for p in (positions(n) if callable(positions) else positions) if 1 <= p <= n})
-    if not wanted:
-        return {}, n
-    rows = numbered.filter(F.col("position").isin(wanted)).collect()
+    rows = numbered.filter(F.col("position").isin(wanted)).collect() if wanted else []
+    blocks.unpersist()
     return {r["position"]: tuple(r[c] for c in order) for r in rows}, n
 
 

@@ -78,16 +78,18 @@ def wheel(pop: DataFrame, share: Column, order: str = "program_id") -> DataFrame
                            "hi": F.col("_hi") / float(total)}).drop("_hi", "_s")
 
 
-def spin(bounds: DataFrame, draws: DataFrame, slots: int, keep: list[str] = ("program_id",),
+def spin(bounds: DataFrame, draws: DataFrame, slots: int | Column, keep: list[str] = ("program_id",),
          group: list[str] = ()) -> DataFrame:
     """For every draw ``u`` the program whose interval holds it: ``lo < u <= hi``.
 
     [0, 1] is cut into ``slots`` equal cells; intervals are laid over the cells they touch and
-    draws fall into one, so the range condition becomes an equi-join on the cell.
+    draws fall into one, so the range condition becomes an equi-join on the cell. ``slots`` may be
+    a column present on both sides.
     """
-    cell = F.least(F.floor(F.col("u") * slots), F.lit(slots - 1)).cast("int")
+    slots = slots if isinstance(slots, Column) else F.lit(slots)
+    cell = F.least(F.floor(F.col("u") * slots), slots - 1).cast("int")
     span = F.sequence(F.greatest(F.floor(F.col("lo") * slots) - 1, F.lit(0)).cast("int"),
-                      F.least(F.floor(F.col("hi") * slots) + 1, F.lit(slots - 1)).cast("int"))
+                      F.least(F.floor(F.col("hi") * slots) + 1, slots - 1).cast("int"))
     laid = bounds.select(*group, *keep, "lo", "hi", F.explode(span).alias("_cell"))
     inside = (F.col("u") > F.col("lo")) & (F.col("u") <= F.col("hi")) | (
         (F.col("u") == 0) & (F.col("lo") == 0) & (F.col("hi") > 0))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,6 @@ from tabwright.operators.quantiles import quantiles
 
 #: Share of missing cells (in percent) above which a column is flagged.
 MISSING_LIMIT = 3.0
-_PER_JOB = 60
 
 
 def report(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
@@ -48,7 +49,7 @@ def describe(df: DataFrame, cols: list[str], probs: list[float] = (0.25, 0.5, 0.
             F.count(c), F.avg(c), F.stddev_samp(c),
             F.min(c).cast("double"), F.max(c).cast("double"))]).first()
         stats += [tuple(row[5 * j:5 * j + 5]) for j in range(len(part))]
-    q = quantiles(df, cols, probs)
+    q = quantiles(df, cols, probs, counts={c: r[0] for c, r in zip(cols, stats)})
     rows = [(c, n, mean, std, low, *q[c], high)
             for c, (n, mean, std, low, high) in zip(cols, stats)]
     names = ", ".join(f"p{round(p * 100)} double" for p in probs)
@@ -77,15 +78,41 @@ def pearson(a, b) -> Column:
 
 
 def correlations(df: DataFrame, cols: list[str], digits: int | None = None) -> DataFrame:
-    """Pearson correlation of every column pair (pairwise complete rows), long form."""
-    pairs = list(combinations(cols, 2))
-    rows = []
-    for i in range(0, len(pairs), _PER_JOB):
-        part = pairs[i:i + _PER_JOB]
-        got = df.agg(*[pearson(a, b) for a, b in part]).first()
-        rows += [(a, b, r) for (a, b), r in zip(part, got)]
-    out = report(df.sparkSession, rows, "col_a string, col_b string, r double")
-    return out.withColumn("r", F.round("r", digits)) if digits is not None else out
+    """Pearson correlation of every column pair (pairwise complete rows), long form.
+
+    One pass for all pairs: tasks multiply their Arrow batches (values about the column mean,
+    and presence masks) and emit one small matrix each.
+    """
+    cols = list(cols)
+    d = len(cols)
+    means = df.agg(*[F.avg(c) for c in cols]).first()
+    centre = np.array([0.0 if m is None else float(m) for m in means])
+    rows = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
+
+    def partial(batches):
+        held = np.zeros((4, d, d))
+        for pdf in batches:
+            z = pdf.to_numpy(dtype=float) - centre
+            here = np.isfinite(z)
+            z = np.where(here, z, 0.0)
+            m = here.astype(float)
+            held += np.stack([m.T @ m, z.T @ m, z.T @ z, (z * z).T @ m])
+        yield pd.DataFrame({"p": np.arange(held.size), "v": held.ravel()})
+
+    cells = rows.mapInPandas(partial, "p int, v double").groupBy("p").agg(F.sum("v").alias("v"))
+    n, s, ss, sq = np.array([r.v for r in cells.orderBy("p").collect()] or [0.0] * 4 * d * d).reshape(4, d, d)
+    out = []
+    for i, j in combinations(range(d), 2):
+        k = n[i, j]
+        r = None
+        if k > 1:
+            va = sq[i, j] - s[i, j] ** 2 / k
+            vb = sq[j, i] - s[j, i] ** 2 / k
+            if va > 1e-14 * sq[i, j] and vb > 1e-14 * sq[j, i]:
+                r = float((ss[i, j] - s[i, j] * s[j, i] / k) / np.sqrt(va * vb))
+        out.append((cols[i], cols[j], r))
+    table = report(df.sparkSession, out, "col_a string, col_b string, r double")
+    return table.withColumn("r", F.round("r", digits)) if digits is not None else table
 
 
 def grouped_mean(df: DataFrame, keys: list[str], value: str, out: str | None = None) -> DataFrame:

@@ -33,10 +33,11 @@ def _aggregate(df: DataFrame, exprs: list) -> list:
 
 
 def quantiles(df: DataFrame, cols: list[str], probs: list[float],
-              limit: int = ONE_PASS_VALUES) -> dict[str, list[float | None]]:
-    """``{column: [value per probability]}``; a column without values gives NULLs."""
+              limit: int = ONE_PASS_VALUES, counts: dict[str, int] | None = None) -> dict[str, list[float | None]]:
+    """``{column: [value per probability]}``; a column without values gives NULLs. ``counts`` are
+    the columns' numbers of values, where the caller knows them."""
     cols, probs = list(cols), [float(p) for p in probs]
-    counts = dict(zip(cols, _aggregate(df, [F.count(c) for c in cols])))
+    counts = counts or dict(zip(cols, _aggregate(df, [F.count(c) for c in cols])))
     if max(counts.values(), default=0) <= limit:
         got = _aggregate(df, [F.percentile(F.col(c).cast("double"), F.array(*map(F.lit, probs)))
                               for c in cols])

@@ -57,12 +57,10 @@ def chi_squared(long: DataFrame, keys: list[str], left: str = "bin", right: str
                        dof.alias("dof"))
 
 
-def binned_long(df: DataFrame, bins: dict[str, Column], target: str) -> DataFrame:
-    """(feature, bin, t) rows for all features at once."""
-    cells = F.array(*[F.struct(F.lit(c).alias("feature"), b.cast("string").alias("bin"))
-                      for c, b in bins.items()])
-    return df.select(F.explode(cells).alias("s"), F.col(target).alias("t")).select(
-        "s.feature", "s.bin", "t")
+def binned_long(df: DataFrame, bins: list[Column], target: str) -> DataFrame:
+    """(which, bin, t) rows for all binned columns at once; ``which`` is the place in the list."""
+    cells = F.array(*[F.struct(F.lit(i).alias("which"), b.alias("bin")) for i, b in enumerate(bins)])
+    return df.select(F.explode(cells).alias("s"), F.col(target).alias("t")).select("s.which", "s.bin", "t")
 
 
 def chisq_rank(df: DataFrame, continuous: list[str], target: str, categorical: list[str] = (),
@@ -74,36 +72,30 @@ def chisq_rank(df: DataFrame, continuous: list[str], target: str, categorical: l
     else:
         edges = quantile_edges(rows, continuous, n_bins) if continuous else {}
         bins = {c: right_closed(F.col(c), e) for c, e in edges.items()}
-    bins.update({c: F.col(c) for c in categorical})
-    stat = chi_squared(binned_long(rows, bins, target), ["feature"])
-    full = stat.withColumn("p", chi2_p(F.col("chi2"), F.col("dof").cast("double"))).withColumn(
-        "valid", F.col("p") <= VALID_P)
+    if categorical:
+        bins = {c: b.cast("string") for c, b in bins.items()}
+        bins.update({c: F.col(c).cast("string") for c in categorical})
+    stat = chi_squared(binned_long(rows, list(bins.values()), target), ["which"])
+    names = F.array(*[F.lit(c) for c in bins])
+    full = stat.select(F.element_at(names, F.col("which") + 1).alias("feature"), "chi2", "dof").withColumn(
+        "p", chi2_p(F.col("chi2"), F.col("dof").cast("double"))).withColumn("valid", F.col("p") <= VALID_P)
     return average_rank(full, "chi2", "rank")
 
 
 def best_powers(df: DataFrame, cols: list[str], target: str, n_bins: int = 10):
     """The transform with the largest chi2 per scaled feature: ``(model, table)``."""
     scaler = fit_minmax(df, cols)
-    order = {}
-    cells = []
-    for c in scaler.ranges:
-        for i, (name, b) in enumerate(power_bins(scaler.column(c), n_bins).items()):
-            order[name] = i
-            cells.append(F.struct(F.lit(c).alias("feature"), F.lit(name).alias("power"), b.alias("bin")))
-    long = df.filter(F.col(target).isNotNull()).select(
-        F.explode(F.array(*cells)).alias("s"), F.col(target).alias("t")).select("s.*", "t")
-    stats = chi_squared(long, ["feature", "power"]).select("feature", "power", "chi2").collect()
-    rows, chosen = [], {}
-    for c in scaler.ranges:
-        mine = sorted((r for r in stats if r.feature == c), key=lambda r: order[r.power])
-        best = mine[0]
-        for r in mine[1:]:
-            if r.chi2 > best.chi2:
-                best = r
-        chosen[c] = best.power
-        rows.append((c, best.power, best.chi2))
-    table = report(df.sparkSession, rows, "feature string, power string, chi2 double")
-    return PowerModel(scaler, chosen), table
+    tried = [(c, name, b) for c in scaler.ranges
+             for name, b in power_bins(scaler.column(c), n_bins).items()]
+    long = binned_long(df.filter(F.col(target).isNotNull()), [b for *_, b in tried], target)
+    stats = {r.which: r.chi2 for r in chi_squared(long, ["which"]).collect()}     # one per transform
+    best: dict[str, tuple] = {}
+    for i, (c, name, _) in enumerate(tried):
+        if i in stats and (c not in best or stats[i] > best[c][1]):
+            best[c] = (name, stats[i])
+    table = report(df.sparkSession, [(c, *v) for c, v in best.items()],
+                   "feature string, power string, chi2 double")
+    return PowerModel(scaler, {c: v[0] for c, v in best.items()}), table
 
 
 # --- one regression per feature --------------------------------------------------------------------

@@ -370,7 +370,7 @@ CHI_FEATURES = ["f_tax", "f_size", "f_retail", "f_order", "f_spiky"]
 
 @query
 def chi2_rank(spark, sf_dir):
-    df = _obs(spark, sf_dir, *CHI_FEATURES, "year_collect", "gender")
+    df = stage(_obs(spark, sf_dir, *CHI_FEATURES, "year_collect", "gender"), "chi")
     t = worth.chisq_rank(df, CHI_FEATURES, "year_collect", ["gender"])
     return rounded(t.select("feature", "chi2", "dof", "rank"), 6, ["chi2"])
 
@@ -400,13 +400,13 @@ def woe_categorical(spark, sf_dir):
 
 @query
 def iv_table(spark, sf_dir):
-    return rounded(worth.data_vars(fixtures.binary_obs(spark, sf_dir), ["x_chars", "x_lang"], "y")[1], 8)
+    return rounded(worth.data_vars(stage(fixtures.binary_obs(spark, sf_dir), "binary"), ["x_chars", "x_lang"], "y")[1], 8)
 
 
 @query
 def woe_encode(spark, sf_dir):
-    df = fixtures.binary_obs(spark, sf_dir)
-    bins, _ = worth.data_vars(df, ["x_chars", "x_lang"], "y")
+    df = stage(fixtures.binary_obs(spark, sf_dir), "binary")
+    bins = stage(worth.data_vars(df, ["x_chars", "x_lang"], "y")[0], "bins")
     return rounded(scaling.woe_encode(df, bins, ["x_chars"], ["x_lang"]), 8, ["WOE_x_chars", "WOE_x_lang"])
 
 
@@ -1059,15 +1059,14 @@ def initial_population(spark, sf_dir):
 
 @query
 def breed_generation(spark, sf_dir):
-    """One offspring per customer's program; demes are nations, so groups stay small."""
+    """One offspring per customer's program, in demes of fifty neighbours."""
     g = breeding.Grammar(["add", "sub", "mul", "div", "sqrt", "log", "max", "min"], 8)
     pop = _program_table(spark, sf_dir).join(
         _scored(spark, sf_dir).select(F.col("program_id").cast("int").alias("program_id"), "fitness"), "program_id")
-    placed = pop.select(F.lit(0).alias("run_seed"), (F.col("program_id") % 50).alias("deme"), "program_id",
+    placed = pop.select(F.lit(0).alias("run_seed"), F.floor(F.col("program_id") / 50).cast("int").alias("deme"), "program_id",
                         F.lit(0).alias("generation"), "nodes", "fitness")
     v = breeding.Variation({m: 1.0 / 13 for m in breeding.METHODS}, "tournament", 3)
-    size = 50
-    child = breeding.breed(breeding.measured(placed, g), g, v, size, 1, 5)
+    child = breeding.breed(breeding.measured(placed, g), g, v, 1, 5)
     return expressions.inspect(child, g.table()).select("deme", "program_id", "method", "valid", "length", "text")
 
 

@@ -59,6 +59,22 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Inputs up to this many bytes may be dealt out again when they fill too few tasks.
+SPREAD_BYTES = 1 << 30
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal a small input out over the cores when its few files would keep most of them idle.
+
+    Never applies to big inputs, whose splits already fill the cluster.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores:
+        return df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores, *keys) if size <= SPREAD_BYTES else df
+
+
 def attach(df: DataFrame, lookup: DataFrame, on: list[str], weight: str, how_many: int) -> DataFrame:
     """Inner join to a lookup with unique keys where some keys may be hot on the ``df`` side.
 

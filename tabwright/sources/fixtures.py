@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabwright.session import spread
+
 OBS_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 OBS_FEATURES = ["f_qty", "f_disc", "f_tax", "f_size", "f_retail", "f_order", "f_spiky", "f_size2"]
 OBS_EXEMPT = ["gender", "year_collect"]
@@ -16,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wide observation table with missing cells, planted outliers and a planted signal."""
-    line = table(spark, sf_dir, "lineitem")
+    line = spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice")
     joined = line.join(orders, line.l_orderkey == orders.o_orderkey).join(

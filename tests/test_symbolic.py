@@ -112,7 +112,7 @@ def test_initial_programs(spark, method):
 @pytest.mark.parametrize("method", breeding.METHODS)
 def test_offspring_are_valid(pop, method):
     v = breeding.Variation({method: 1.0}, "tournament", 3)
-    child = breeding.breed(pop, GRAMMAR, v, 80, 1, 9)
+    child = breeding.breed(pop, GRAMMAR, v, 1, 9)
     t = expressions.inspect(child, GRAMMAR.table()).toPandas()
     assert len(t) == 320 and t.valid.all() and (t.method == method).all()
     parent = {(r.run_seed, r.deme, r.program_id): r for r in expressions.inspect(pop, GRAMMAR.table()).collect()}
@@ -132,20 +132,20 @@ def test_offspring_are_valid(pop, method):
 @pytest.mark.parametrize("selection", sorted(breeding.SELECTIONS))
 def test_selection_fills_every_slot(pop, selection):
     v = breeding.Variation({}, selection, 3)
-    t = breeding.breed(pop, GRAMMAR, v, 80, 1, 2).toPandas()
+    t = breeding.breed(pop, GRAMMAR, v, 1, 2).toPandas()
     assert len(t) == 320 and (t.method == "reproduction").all() and t.parent_id.notna().all()
 
 
 def test_breeding_is_repeatable(pop):
     v = breeding.Variation({"crossover": 0.6, "subtree_mutation": 0.4})
-    a = breeding.breed(pop, GRAMMAR, v, 80, 3, 2)
-    b = breeding.breed(pop.repartition(5), GRAMMAR, v, 80, 3, 2)
+    a = breeding.breed(pop, GRAMMAR, v, 3, 2)
+    b = breeding.breed(pop.repartition(5), GRAMMAR, v, 3, 2)
     assert a.exceptAll(b).count() == 0
 
 
 def test_self_mating_uses_one_draw(pop):
     v = breeding.Variation({"crossover": 1.0}, self_mating=True)
-    t = breeding.breed(pop, GRAMMAR, v, 80, 1, 2).toPandas()
+    t = breeding.breed(pop, GRAMMAR, v, 1, 2).toPandas()
     assert (t.parent_id == t.donor_id).all()
 
 
