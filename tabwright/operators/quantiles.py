@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Values per column up to which the one-pass exact aggregate is used.
-ONE_PASS_VALUES = 2_000_000
+ONE_PASS_VALUES = 1_000_000
+#: Values over all columns whose exact state may meet in one task of one job.
+ONE_JOB_VALUES = 6_000_000
 ACCURACY = 10_000
 _WIDTH = 3.0 / ACCURACY
 _PER_JOB = 60
@@ -25,9 +27,9 @@ def _chunks(items, size=_PER_JOB):
         yield items[i:i + size]
 
 
-def _aggregate(df: DataFrame, exprs: list) -> list:
+def _aggregate(df: DataFrame, exprs: list, per_job: int = _PER_JOB) -> list:
     out = []
-    for part in _chunks(exprs):
+    for part in _chunks(exprs, per_job):
         out.extend(df.agg(*[e.alias(f"a{i}") for i, e in enumerate(part)]).first())
     return out
 
@@ -40,7 +42,8 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float],
     counts = counts or dict(zip(cols, _aggregate(df, [F.count(c) for c in cols])))
     if max(counts.values(), default=0) <= limit:
         got = _aggregate(df, [F.percentile(F.col(c).cast("double"), F.array(*map(F.lit, probs)))
-                              for c in cols])
+                              for c in cols],
+                         max(1, ONE_JOB_VALUES // max(1, *counts.values(), 1)))
         return {c: (list(v) if v is not None else [None] * len(probs)) for c, v in zip(cols, got)}
     ranks = {}
     for c in cols:

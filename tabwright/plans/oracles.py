@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
+
 from tabwright.sources.fixtures import OBS_FEATURES
 
 KEY = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice"
@@ -63,6 +65,8 @@ def q(col: str, p: float) -> str:
 
 
 SQL: dict[str, str] = {}
+# The columns that seed 5 picks for the random subset.
+_CHOSEN = ['f_retail', 'f_size2', 'f_spiky']
 
 # --- scans, filters, set operations
 
@@ -381,6 +385,21 @@ SQL["pca_board"] = with_(OBS, """c AS (SELECT var_samp(f_size) AS a, var_samp(f_
  round(l1 / (l1 + l2), 6) AS cumulative FROM l""",
     "SELECT 'PC2', round(l2, 6), round(l2 / (l1 + l2), 6), 1.0 FROM l"])
 
+SQL["random_subset"] = with_(OBS) + (f"SELECT {KEY}, k, " + ", ".join(
+    c for c in [*OBS_FEATURES] if c in _CHOSEN) + f" FROM obs WHERE {u('k', 5)} < 0.3")
+# A projection matrix drawn once per seed: N(0, 1/k).
+_R = np.random.default_rng(1).normal(0.0, (1.0 / 3) ** 0.5, (len(NUMERIC), 3))
+SQL["random_projection"] = with_(OBS, _ranges(NUMERIC), "s AS (SELECT " + KEY + ", " + ", ".join(
+    f"{mm(c)} AS {c}" for c in NUMERIC) + " FROM obs, r)") + f"SELECT {KEY}, " + ", ".join(
+    "round(" + " + ".join(f"{c} * ({_R[i, j]!r})".replace("np.float64(", "(") for i, c in enumerate(NUMERIC))
+    + f", 7) AS \"RP{j + 1}\"" for j in range(3)) + " FROM s"
+# Scores of a centred two-column rotation: the angle follows from the 2 x 2 covariance.
+SQL["pca_scores"] = with_(OBS, """c AS (SELECT avg(f_size) AS mx, avg(f_size2) AS my, var_samp(f_size) AS a,
+ var_samp(f_size2) AS b, covar_samp(f_size, f_size2) AS x FROM obs)""", """w AS (SELECT mx, my,
+ 0.5 * atan2(2 * x, a - b) AS t FROM c)""") + f"""SELECT {KEY},
+ round((f_size - mx) * cos(t) + (f_size2 - my) * sin(t), 6) AS "PC1",
+ round((f_size - mx) * sin(t) - (f_size2 - my) * cos(t), 6) AS "PC2" FROM obs, w"""
+
 # --- synthetic rows
 
 _MODE = {c: f"""(SELECT cluster, {c} FROM (SELECT cluster, {c}, row_number() OVER (PARTITION BY cluster

@@ -527,6 +527,13 @@ def pca_board(spark, sf_dir):
     return rounded(decompose.fit_pca(df, ["f_size", "f_size2"]).board(df), 6)
 
 
+@query
+def pca_scores(spark, sf_dir):
+    df = _obs(spark, sf_dir, *OBS_KEY, "f_size", "f_size2")
+    out = decompose.fit_pca(df, ["f_size", "f_size2"]).map.transform(df)
+    return rounded(out.drop("f_size", "f_size2"), 6, ["PC1", "PC2"])
+
+
 def _scaled(spark, sf_dir):
     df = _obs(spark, sf_dir, *OBS_KEY, *NUMERIC)
     return scaling.fit_minmax(df, NUMERIC).transform(df)
@@ -571,7 +578,8 @@ def agglomerate(spark, sf_dir):
 
 @query
 def random_projection(spark, sf_dir):
-    return decompose.random_projection(NUMERIC, 3, 1).transform(_scaled(spark, sf_dir)).drop(*NUMERIC)
+    out = decompose.random_projection(NUMERIC, 3, 1).transform(_scaled(spark, sf_dir)).drop(*NUMERIC)
+    return rounded(out, 7, ["RP1", "RP2", "RP3"])
 
 
 # --- synthetic rows -----------------------------------------------------------------------------------------------------------
