@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.llm import exact_dedup, mixing, packing, quality_rules, token_output
+from tabwright.llm import exact_dedup, mixing, ngram_join, packing, quality_rules, token_output, warc
 from tabwright.llm.common import tables
-from tabwright.session import new_path, spread
+from tabwright.session import new_path
 
 #: Rows in an Arrow batch: whole texts travel in them.
 ARROW_ROWS = "1000"
@@ -19,11 +19,15 @@ def _read(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFram
     return spark.read.parquet(tables(sf_dir, name))
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer_path(name: str) -> str:
     import public_tokenizers
     return public_tokenizers.path(name)
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(_read(spark, sf_dir)).drop("mark")
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_rows(_read(spark, sf_dir))
 
@@ -35,12 +39,12 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, path = _read(spark, sf_dir), new_path(spark, "tokens")
-    token_output.write_tokens(docs, path, _tokenizer("byte_bpe_50k.json"), 2, docs.rdd.getNumPartitions())
+    token_output.write_tokens(docs, path, tokenizer_path("byte_bpe_50k.json"), 2, docs.rdd.getNumPartitions())
     return token_output.read_tokens(spark, path)
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_read(spark, sf_dir), _tokenizer("word_bpe_49k.json"), 0, CAPACITY)
+    return packing.pack_documents(_read(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), 0, CAPACITY)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +52,13 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
+def op10_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(_read(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 REGISTRY = {f.__name__: f for f in (
-    op3_mix_sources, op4_exact_dedup, op5_token_output, op8_best_fit_packing, op9_quality_rules)}
+    op1_ngram_jaccard_join, op3_mix_sources, op4_exact_dedup, op5_token_output, op8_best_fit_packing, op9_quality_rules,
+    op10_warc_archives)}
 
 SQL: dict[str, str] = {}
