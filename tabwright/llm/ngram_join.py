@@ -312,7 +312,9 @@ def _verify(docs: DataFrame, classes: DataFrame, groups: DataFrame, n: int, thre
     wanted = stage(wanted, "wanted")
     # one document per class gives the class's shingles
     text = docs.select(F.col("doc_id").cast("long").alias("class_id"), text_of().alias("text"))
-    read = text.join(wanted.select("class_id", "class", "node", "part"), text["class_id"].eqNullSafe(wanted["class_id"])) \
+    # what is wanted grows with the documents, so it is never broadcast
+    some = wanted.select("class_id", "class", "node", "part").hint("merge")
+    read = text.join(some, text["class_id"].eqNullSafe(some["class_id"])) \
         .select("node", "part", "class", "text")
     marks = read.mapInPandas(_marked(n), "node long, part long, marks binary")
     blocks = F.ceil(F.col("n_part") / TILE).cast("int")
