@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.llm import exact_dedup, mixing, ngram_join, packing, quality_rules, token_output, warc
+from tabwright.llm import (
+    exact_dedup,
+    line_dedup,
+    mixing,
+    ngram_join,
+    packing,
+    pii,
+    quality_rules,
+    token_output,
+    toxicity,
+    warc,
+)
 from tabwright.llm.common import tables
 from tabwright.session import new_path
 
@@ -28,6 +39,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(_read(spark, sf_dir)).drop("mark")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(_read(spark, sf_dir))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_rows(_read(spark, sf_dir))
 
@@ -43,6 +58,14 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_tokens(spark, path)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(_read(spark, sf_dir), _read(spark, sf_dir, "labels"))
+
+
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(_read(spark, sf_dir))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), 0, CAPACITY)
 
@@ -58,7 +81,8 @@ def op10_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY = {f.__name__: f for f in (
-    op1_ngram_jaccard_join, op3_mix_sources, op4_exact_dedup, op5_token_output, op8_best_fit_packing, op9_quality_rules,
+    op1_ngram_jaccard_join, op2_line_dedup, op3_mix_sources, op4_exact_dedup, op5_token_output, op6_toxicity, op7_personal_data,
+    op8_best_fit_packing, op9_quality_rules,
     op10_warc_archives)}
 
 SQL: dict[str, str] = {}
