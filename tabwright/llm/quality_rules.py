@@ -83,21 +83,25 @@ def _band(value: Column, good: tuple[float, float], fair: tuple[float, float]) -
     return F.when(value.between(*good), 1).when(~value.between(*fair), -1).otherwise(0)
 
 
+def _flag(value: Column, above: float) -> Column:
+    """-1 above a bound, else abstain: not being junk of one kind says little."""
+    return F.when(value > above, -1).otherwise(0)
+
+
 def rules() -> dict[str, Column]:
     """Votes over the measures. Each looks at another trait, so that errors are nearly independent."""
     return {
-        "length": _band(F.col("n_words"), (40, 1e12), (15, 1e12)),
+        "length": _band(F.col("n_words"), (40, 1e12), (12, 1e12)),
         "word_length": _band(_share("word_chars", "n_words"), (3.0, 9.0), (2.0, 14.0)),
-        "symbols": _band(_share("n_symbols", "n_words"), (0.0, 0.02), (0.0, 0.15)),
-        "dup_lines": _band(_share("n_dup_lines", "n_lines"), (0.0, 0.05), (0.0, 0.3)),
-        "repeats": _band(_share("n_repeat_words", "n_words"), (0.0, 0.05), (0.0, 0.15)),
-        "capitals": _band(F.col("n_upper") / F.greatest(F.col("n_upper") + F.col("n_lower"), F.lit(1)),
-                          (0.0, 0.12), (0.0, 0.4)),
-        "marks": _band(_share("n_marks", "n_words"), (0.0, 0.05), (0.0, 0.3)),
-        "digits": _band(_share("n_digits", "n_chars"), (0.0, 0.08), (0.0, 0.25)),
         "short_words": F.when(F.col("n_words") < 30, 0).otherwise(
             _band(_share("n_short", "n_words"), (0.12, 0.8), (0.04, 0.95))),
-        "long_words": _band(_share("n_long", "n_words"), (0.0, 0.02), (0.0, 0.15)),
+        "symbols": _flag(_share("n_symbols", "n_words"), 0.15),
+        "dup_lines": _flag(_share("n_dup_lines", "n_lines"), 0.3),
+        "repeats": _flag(_share("n_repeat_words", "n_words"), 0.15),
+        "capitals": _flag(F.col("n_upper") / F.greatest(F.col("n_upper") + F.col("n_lower"), F.lit(1)), 0.4),
+        "marks": _flag(_share("n_marks", "n_words"), 0.3),
+        "digits": _flag(_share("n_digits", "n_chars"), 0.25),
+        "long_words": _flag(_share("n_long", "n_words"), 0.15),
     }
 
 
@@ -116,7 +120,7 @@ class Weights:
 
 
 def fit(patterns: list[tuple[tuple[int, ...], int]], names: list[str], prior: float = 0.85,
-        rounds: int = 100, strength: float = 0.02) -> Weights:
+        rounds: int = 100, strength: float = 0.1) -> Weights:
     """Expectation-maximisation over vote patterns with their counts (at most 3^rules rows).
 
     Each class has, per rule, a distribution over good, bad and abstain. Pseudo-counts worth ``strength``
@@ -125,8 +129,11 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], names: list[str], prior: fl
     good, a bad one at least nothing against.
     """
     total = sum(n for _, n in patterns)
-    hint = {True: {1: 0.7, 0: 0.25, -1: 0.05}, False: {1: 0.35, 0: 0.25, -1: 0.4}}
-    table = {c: [dict(hint[c]) for _ in names] for c in (True, False)}
+    both = {True: {1: 0.75, 0: 0.23, -1: 0.02}, False: {1: 0.5, 0: 0.3, -1: 0.2}}
+    flag = {True: {1: 0.001, 0: 0.994, -1: 0.005}, False: {1: 0.001, 0: 0.699, -1: 0.3}}
+    sided = [any(votes[k] == 1 for votes, _ in patterns) for k in range(len(names))]
+    hint = {c: [(both if two else flag)[c] for two in sided] for c in (True, False)}
+    table = {c: [dict(x) for x in hint[c]] for c in (True, False)}
     good = prior
     weight = max(1.0, strength * total)
     for _ in range(rounds if total else 0):
@@ -142,7 +149,7 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], names: list[str], prior: fl
                 sums[False][k][v] += n * (1 - p)
         for c in (True, False):
             for k in range(len(names)):
-                base = {v: sums[c][k][v] + weight * hint[c][v] for v in (1, 0, -1)}
+                base = {v: sums[c][k][v] + weight * hint[c][k][v] for v in (1, 0, -1)}
                 whole = sum(base.values())
                 table[c][k] = {v: x / whole for v, x in base.items()}
         before, good = good, min(0.99, max(0.01, (mass + weight * prior) / (total + weight)))
