@@ -19,9 +19,10 @@ MEMO = 500_000
 #: Punctuation at a chunk's end that may be split off: never part of a contraction (fixed values).
 TAIL = ".,;:!?%$&*#|"
 
-_IRREGULAR = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_SPACY = re.compile(r"[^\S ]")
+#: White space next to a space, among the common kinds; any of the others.
+_DOUBLE = [x + " " for x in " \n\t\r\x0b\x0c"] + [" " + x for x in "\n\t\r\x0b\x0c"]
+_RARE = re.compile(r"[^\S \n\t\r\x0b\x0c]")
 
 
 def _worker_memory() -> dict:
@@ -86,20 +87,21 @@ class Encoder:
         for text in texts:
             if not self.keeps_space:
                 cut.append(("", [x for x in text.replace("\n", " ").split(" ") if x]))
-            elif _IRREGULAR.search(text) or _SPACY.search(text) or text[:1] == " " or text[-1:] == " ":
+            elif any(x in text for x in _DOUBLE) or _RARE.search(text) or text[:1] == " " or text[-1:] == " ":
                 head, *rest = _CUT.split(text)
                 cut.append((head, rest))
             else:
                 head, *rest = text.split(" ")
                 cut.append((head, rest))
-        missing = {x for _, rest in cut for x in rest if x not in memo}
+        held = [list(map(memo.get, rest)) for _, rest in cut]
+        missing = {x for (_, rest), ids in zip(cut, held, strict=True) if None in ids
+                   for x, own in zip(rest, ids, strict=True) if own is None}
         fresh = self._learn(missing) if missing else {}
         heads = iter(self._direct([head for head, _ in cut if head]))
         out = []
-        for head, rest in cut:
-            try:
-                body = b"".join(map(memo.__getitem__, rest))
-            except KeyError:
-                body = b"".join([memo.get(x) or fresh[x] for x in rest])
+        for (head, rest), ids in zip(cut, held, strict=True):
+            if None in ids:
+                ids = [fresh[x] if own is None else own for x, own in zip(rest, ids, strict=True)]
+            body = b"".join(ids)
             out.append(next(heads) + body if head else body)
         return out
