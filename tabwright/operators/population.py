@@ -64,6 +64,13 @@ def _better(greater: bool) -> Column:
     return F.col("fitness") if greater else F.try_divide(F.lit(1.0), F.col("fitness"))
 
 
+def _share(pop: DataFrame, greater: bool) -> Column:
+    """Part of the wheel: the fitness, or one over the error. Programs without error share the whole wheel."""
+    if greater or not pop.filter("fitness = 0").limit(1).count():
+        return _better(greater)
+    return F.when(F.col("fitness") == 0, 1.0).otherwise(0.0)
+
+
 def ordinal_ranks(pop: DataFrame, greater_is_better: bool = False) -> DataFrame:
     """Position from the worst (1) to the best; the smaller id ranks lower on ties."""
     worst_first = F.col("fitness").asc() if greater_is_better else F.col("fitness").desc()
@@ -103,13 +110,13 @@ def rank_selection(pop: DataFrame, draws: DataFrame, n: int, greater_is_better:
 
 
 def roulette_selection(pop: DataFrame, draws: DataFrame, n: int, greater_is_better: bool = False) -> DataFrame:
-    return spin(wheel(pop, _better(greater_is_better)), draws, n)
+    return spin(wheel(pop, _share(pop, greater_is_better)), draws, n)
 
 
 def sus_selection(pop: DataFrame, draws: DataFrame, n: int, greater_is_better: bool = False,
                   pointers: int = 5) -> DataFrame:
     """Stochastic universal sampling; only the first of the equally spaced pointers is used."""
-    return spin(wheel(pop, _better(greater_is_better)), draws.withColumn("u", F.col("u") / pointers), n)
+    return spin(wheel(pop, _share(pop, greater_is_better)), draws.withColumn("u", F.col("u") / pointers), n)
 
 
 def numbered(pop: DataFrame) -> DataFrame:

@@ -20,8 +20,6 @@ from tabwright.session import attach, stage
 
 #: Aggregates per job on the Column path; more would leave code generation.
 PER_JOB = 48
-#: Programs up to which the Column path is used by default.
-COLUMN_PROGRAMS = 100
 #: Nodes shipped to the tasks at once on the Arrow path (a few MB).
 BROADCAST_NODES = 200_000
 #: Fixed value: probabilities are kept this far from 0 and 1.
@@ -50,7 +48,12 @@ def _pearson(y: Column, f: Column, w: Column) -> Column:
     """Correlation of (y, f) for 0/1 weights; general weights go through ``score``."""
     keep = w > 0
     r = F.abs(pearson(F.when(keep, y), F.when(keep, f)))
-    return F.coalesce(F.when(~F.isnan(r), r), F.lit(0.0))
+    return F.coalesce(F.when(~F.isnan(r) & _varies(y, keep) & _varies(f, keep), r), F.lit(0.0))
+
+
+def _varies(e: Column, keep: Column) -> Column:
+    """Whether the rows kept have two different values: moments of a constant may leave rounding residue."""
+    return F.min(F.when(keep, e)) < F.max(F.when(keep, e))
 
 
 def _log_loss(y: Column, p: Column, w: Column) -> Column:
@@ -102,14 +105,14 @@ def score(df: DataFrame, programs: list[tuple[int, list]], features: list[str],
     ``val`` names a boolean column: its rows count only for ``val_fitness``. ``bag`` is
     ``(key, seed, share)``: rows outside a program's bag count only for ``oob_fitness``.
     ``method`` is ``columns`` (one aggregate per program) or ``arrow`` (one pass whatever the
-    number of programs); by default the number decides. Rows must be complete.
+    number of programs, the default wherever the metric allows it). Rows must be complete.
     """
     m = metric_of(metric)
     if m.name == "spearman":
         return _spearman(df, programs, features, target, weight, functions, transform, val, bag)
     arrow_ok = m.moment is not None and transform in (None, sigmoid)
     if method is None:
-        method = "arrow" if len(programs) > COLUMN_PROGRAMS and arrow_ok else "columns"
+        method = "arrow" if arrow_ok else "columns"
     if method == "arrow":
         if not arrow_ok:
             raise ValueError(f"{m.name} with this output needs method='columns'")
@@ -171,7 +174,7 @@ def _weighted_means(df, y, outputs, weight, val, bag) -> dict:
 def _centred_pearson(y, f, w, my, mf) -> Column:
     a, b = y - my, f - mf
     r = F.abs(F.try_divide(F.sum(w * a * b), F.sqrt(F.sum(w * a * a)) * F.sqrt(F.sum(w * b * b))))
-    return F.coalesce(F.when(~F.isnan(r), r), F.lit(0.0))
+    return F.coalesce(F.when(~F.isnan(r) & _varies(y, w > 0) & _varies(f, w > 0), r), F.lit(0.0))
 
 
 # --- one pass over Arrow batches -----------------------------------------------------------------

@@ -36,7 +36,13 @@ MAX_BINS = 64
 
 
 def assembled(df: DataFrame, features: list[str]) -> DataFrame:
-    return VectorAssembler(inputCols=list(features), outputCol="_v", handleInvalid="skip").transform(df)
+    """Feature vectors of all rows; missing values become NaN, see ``complete``."""
+    return VectorAssembler(inputCols=list(features), outputCol="_v", handleInvalid="keep").transform(df)
+
+
+def complete(features) -> F.Column:
+    """Whether a row has every feature; rows that don't keep a NULL prediction."""
+    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in features])
 
 
 def estimator(name: str, target: str, seed: int, weight: str | None = None, **params):
@@ -66,7 +72,8 @@ class TreeModel:
     model: object
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return self.model.transform(assembled(df, list(self.features))).drop("_v")
+        return self.model.transform(assembled(df, list(self.features))).drop("_v").withColumn(
+            "prediction", F.when(complete(self.features), F.col("prediction")))
 
     @property
     def importances(self) -> list[float]:
@@ -107,7 +114,7 @@ class ExtraTrees:
                 name, F.col("prediction")).drop("prediction", "_v", *[f"_b_{c}" for c in self.features])
             names.append(name)
         mean = reduce(lambda a, b: a + b, [F.col(n) for n in names]) / len(names)
-        return out.withColumn("prediction", mean).drop(*names)
+        return out.withColumn("prediction", F.when(complete(self.features), mean)).drop(*names)
 
     @property
     def importances(self) -> list[float]:
