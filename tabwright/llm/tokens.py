@@ -11,6 +11,7 @@ import os
 import re
 import sys
 import types
+from array import array
 
 import numpy as np
 
@@ -23,6 +24,7 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: White space next to a space, among the common kinds; any of the others.
 _DOUBLE = [x + " " for x in " \n\t\r\x0b\x0c"] + [" " + x for x in "\n\t\r\x0b\x0c"]
 _RARE = re.compile(r"[^\S \n\t\r\x0b\x0c]")
+_UINT = array("I")
 
 
 def _worker_memory() -> dict:
@@ -51,8 +53,10 @@ class Encoder:
         self.tokenizer, self.memo, self.keeps_space = tokenizer, memo, keeps_space
 
     def _direct(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes()
-                for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        if sys.byteorder == "little" and _UINT.itemsize == 4:
+            return [array("I", e.ids).tobytes() for e in found]
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
     def _learn(self, chunks: set[str]) -> dict[str, bytes]:
         """Ids of chunks outside the memo; their punctuation at the end is looked up apart."""
