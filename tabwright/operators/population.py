@@ -77,12 +77,27 @@ def ordinal_ranks(pop: DataFrame, greater_is_better: bool = False) -> DataFrame:
     return running(pop, [worst_first, F.col("program_id")], position="rank")
 
 
+#: Whole units a wheel is cut into: shares are rounded to them, so that their sums are exact in any order.
+WHEEL_UNITS = float(1 << 50)
+
+
+def wheel_part(share: Column) -> Column:
+    """A share as it counts on a wheel: missing, undefined and negative shares have no part."""
+    return F.greatest(F.coalesce(F.nanvl(share.cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(0.0))
+
+
 def wheel(pop: DataFrame, share: Column, order: str = "program_id") -> DataFrame:
-    """Interval ``(lo, hi]`` of each program on [0, 1], proportional to ``share``, in id order."""
-    total = pop.agg(F.sum(share)).first()[0]
-    up = running(pop.withColumn("_s", share.cast("double")), [F.col(order)], {"_hi": F.col("_s")})
-    return up.withColumns({"lo": (F.col("_hi") - F.col("_s")) / float(total),
-                           "hi": F.col("_hi") / float(total)}).drop("_hi", "_s")
+    """Interval ``(lo, hi]`` of each program on [0, 1], proportional to ``share``, in id order.
+
+    Each interval begins exactly where the one before ends, and the last one ends at 1. Missing and negative
+    shares give empty intervals; where no share is positive all programs get the same.
+    """
+    parts = pop.withColumn("_s", wheel_part(share))
+    total = parts.agg(F.sum("_s")).first()[0]
+    parts = parts.withColumn("_s", F.rint(F.col("_s") / float(total) * WHEEL_UNITS) if total else F.lit(1.0))
+    top = float(parts.agg(F.sum("_s")).first()[0] or 1.0)
+    up = running(parts, [F.col(order)], {"_hi": F.col("_s")})
+    return up.withColumns({"lo": (F.col("_hi") - F.col("_s")) / top, "hi": F.col("_hi") / top}).drop("_hi", "_s")
 
 
 def spin(bounds: DataFrame, draws: DataFrame, slots: int | Column, keep: list[str] = ("program_id",),

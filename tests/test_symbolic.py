@@ -218,3 +218,35 @@ def test_islands(obs):
                                      islands=symbolic.Islands(deme_size=6, maturation=3, p_gsgp_demes=0.4))
     est.fit(obs, ["f_tax", "f_size", "f_spiky"], "signal", "k", OBS_KEY)
     assert est.population_.count() == 6
+
+
+def test_wheel_intervals_meet(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, float(x)) for i, x in enumerate(rng.exponential(size=1000))] + [(1000, None), (1001, -2.0), (1002, float("nan"))]
+    pop = spark.createDataFrame(rows, "program_id long, fitness double").repartition(7)
+    bounds = population.wheel(pop, F.col("fitness")).cache()
+    got = bounds.orderBy("program_id").collect()
+    assert [r["lo"] for r in got] == [0.0] + [r["hi"] for r in got[:-1]] and got[-1]["hi"] == 1.0
+    assert all(r["lo"] == r["hi"] for r in got[1000:])
+    ends = bounds.filter("program_id < 1000").select(F.col("program_id").alias("slot"), F.col("hi").alias("u"))
+    drawn = population.spin(bounds, ends, 50).collect()
+    assert len(drawn) == 1000 and all(r["slot"] == r["program_id"] for r in drawn)
+
+
+def test_programs_without_error_take_every_draw(spark):
+    pop = spark.createDataFrame([(i, float(abs(i - 3))) for i in range(8)], "program_id long, fitness double")
+    draws = spark.createDataFrame([(i, i / 200.0) for i in range(200)], "slot long, u double")
+    for choose in (population.roulette_selection, population.sus_selection):
+        assert {r["program_id"] for r in choose(pop, draws, 8).collect()} == {3}
+    group = pop.select(*[F.lit(0).alias(c) for c in population.GROUP], "*")
+    slots = draws.select(*[F.lit(0).alias(c) for c in population.GROUP], "slot", F.lit(0).alias("turn"), "u", F.lit(8).alias("n"))
+    for method in ("roulette", "sus"):
+        got = breeding.SELECTIONS[method](group, slots, None, False).collect()
+        assert len(got) == 200 and {r["chosen"] for r in got} == {3}
+
+
+def test_wheel_without_positive_shares_is_even(spark):
+    pop = spark.createDataFrame([(i, 0.0) for i in range(4)], "program_id long, fitness double")
+    got = population.wheel(pop, F.col("fitness")).orderBy("program_id").collect()
+    assert [r["hi"] for r in got] == [0.25, 0.5, 0.75, 1.0]
+    assert population.wheel(pop.limit(0), F.col("fitness")).count() == 0
