@@ -77,10 +77,6 @@ def ordinal_ranks(pop: DataFrame, greater_is_better: bool = False) -> DataFrame:
     return running(pop, [worst_first, F.col("program_id")], position="rank")
 
 
-#: Whole units a wheel is cut into: shares are rounded to them, so that their sums are exact in any order.
-WHEEL_UNITS = float(1 << 50)
-
-
 def wheel_part(share: Column) -> Column:
     """A share as it counts on a wheel: missing, undefined and negative shares have no part."""
     return F.greatest(F.coalesce(F.nanvl(share.cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(0.0))
@@ -94,10 +90,14 @@ def wheel(pop: DataFrame, share: Column, order: str = "program_id") -> DataFrame
     """
     parts = pop.withColumn("_s", wheel_part(share))
     total = parts.agg(F.sum("_s")).first()[0]
-    parts = parts.withColumn("_s", F.rint(F.col("_s") / float(total) * WHEEL_UNITS) if total else F.lit(1.0))
-    top = float(parts.agg(F.sum("_s")).first()[0] or 1.0)
+    if total == 0:
+        return wheel(pop, F.lit(1.0), order)
     up = running(parts, [F.col(order)], {"_hi": F.col("_s")})
-    return up.withColumns({"lo": (F.col("_hi") - F.col("_s")) / top, "hi": F.col("_hi") / top}).drop("_hi", "_s")
+    top = up.agg(F.max("_hi")).first()[0]            # may differ from the total in its last digit
+    before = up.select((F.col("position") + 1).alias("position"), F.col("_hi").alias("_lo"))
+    place = lambda c: F.when(F.col(c) == F.lit(top), 1.0).otherwise(F.col(c) / F.lit(total))          # noqa: E731
+    return up.join(before, "position", "left").withColumns(
+        {"lo": F.coalesce(place("_lo"), F.lit(0.0)), "hi": place("_hi")}).drop("_lo", "_hi", "_s", "position")
 
 
 def spin(bounds: DataFrame, draws: DataFrame, slots: int | Column, keep: list[str] = ("program_id",),
