@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +24,33 @@ def uniform(key, salt) -> Column:
         "double") / F.lit(float(MODULUS))
 
 
+#: Fixed prime of ``cubic``: products of two residues fit in 64 bits.
+PRIME = 2147483647
+
+
+def coefficients(*parts) -> list[int]:
+    """Five residues from the sha256 of ``parts``, one set per program, seed and generation."""
+    digest = hashlib.sha256(":".join(map(str, parts)).encode()).hexdigest()
+    return [int(digest[8 * i:8 * i + 8], 16) % PRIME for i in range(5)]
+
+
+def cubic(low, high, c: list[int]):
+    """A cubic in the key modulo ``PRIME`` from the residues of the key's low and high half.
+
+    Rows, programs and seeds draw alike only by chance: keys of any spacing give no pattern and no
+    range of salts repeats. Works on Columns and on integer arrays.
+    """
+    x = (low + high * c[4]) % PRIME
+    return (((x * c[3] + c[2]) % PRIME * x + c[1]) % PRIME * x + c[0]) % PRIME
+
+
+def drawn(key, *parts) -> Column:
+    """Uniform in [0, 1) from an integer key of any size and any number of constants."""
+    key = (F.col(key) if isinstance(key, str) else key).cast("bigint")
+    low, high = F.pmod(key, F.lit(PRIME)), F.pmod(F.shiftright(key, 31), F.lit(PRIME))
+    return cubic(low, high, [F.lit(c).cast("bigint") for c in coefficients(*parts)]).cast("double") / F.lit(float(PRIME))
+
+
 def hashed(*parts) -> Column:
     """Uniform in [0, 1) from any mix of columns and constants."""
     cols = [p if isinstance(p, Column) else F.lit(p) for p in parts]

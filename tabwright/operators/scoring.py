@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabwright.functions.draws import INCREMENT, MODULUS, MULTIPLIER, MULTIPLIER_STEP
+from tabwright.functions.draws import PRIME, coefficients, cubic
 from tabwright.functions.protected import BUILT_IN, Scalar
 from tabwright.operators.expressions import sigmoid, to_column, to_vector
 from tabwright.operators.ordering import value_ranks
@@ -98,7 +98,7 @@ def metric_of(metric: str | Metric) -> Metric:
 def score(df: DataFrame, programs: list[tuple[int, list]], features: list[str], target: str,
           metric: str | Metric = "mean absolute error", weight: str | None = None,
           functions: dict[str, Scalar] = BUILT_IN, transform: Callable[[Column], Column] | None = None,
-          val: str | None = None, bag: tuple[str, int, float] | None = None,
+          val: str | None = None, bag: tuple[str, int | str, float] | None = None,
           method: str | None = None) -> DataFrame:
     """Fitness of each program: ``(program_id, raw_fitness[, val_fitness, oob_fitness])``.
 
@@ -201,10 +201,10 @@ def _score_arrow(df, programs, features, target, m, weight, functions, transform
     return out
 
 
-def _draw_vector(key: np.ndarray, salt: int) -> np.ndarray:
-    """The row draw of ``functions.draws.uniform`` on an array."""
-    step = (key.astype(np.int64) % MODULUS) * (MULTIPLIER + MULTIPLIER_STEP * salt)
-    return ((step + INCREMENT * salt) % MODULUS) / float(MODULUS)
+def _draw_vector(key: np.ndarray, *parts) -> np.ndarray:
+    """The row draw of ``functions.draws.drawn`` on an array."""
+    key = key.astype(np.int64)
+    return cubic(key % PRIME, (key >> 31) % PRIME, coefficients(*parts)) / float(PRIME)
 
 
 def _arrow_chunk(df, programs, features, target, m, weight, functions, transform, val, bag):
@@ -232,7 +232,7 @@ def _arrow_chunk(df, programs, features, target, m, weight, functions, transform
                 masks = [train]
                 inside = None
                 if bag and bag[2] < 1.0:
-                    inside = _draw_vector(k, pid % 20000 + 1 + bag[1]) < bag[2]
+                    inside = _draw_vector(k, pid, bag[1]) < bag[2]
                     masks = [np.where(inside, train, 0.0)]
                 if val:
                     masks.append(np.where(v, w, 0.0))

@@ -7,7 +7,7 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.functions.draws import uniform
+from tabwright.functions.draws import drawn, uniform
 from tabwright.operators.ordering import after, keys_at, slot
 
 
@@ -47,12 +47,11 @@ def validation_flag(df: DataFrame, key: str, unique_key: list[str], seed: int, s
     return drawn.withColumn(out, flag).drop("_u")
 
 
-def in_bag(key: str, program: Column | int, seed: int, share: float) -> Column:
-    """Row-by-program membership of a bag holding ``share`` of the rows."""
+def in_bag(key: str, program: int, seed: int | str, share: float) -> Column:
+    """Row-by-program membership of a bag holding ``share`` of the rows; every (program, seed) has its own bag."""
     if share >= 1.0:
         return F.lit(True)
-    return uniform(key, (program if isinstance(program, Column) else F.lit(program)) % 20000
-                   + 1 + seed) < share
+    return drawn(key, program, seed) < share
 
 
 def fold_sizes(n: int, k: int) -> list[int]:

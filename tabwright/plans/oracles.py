@@ -493,9 +493,15 @@ SQL["score_logloss"] = with_(OBS) + _scores([(i, _ll(i)) for i in (0, 2, 5, 6, 7
 SQL["score_val"] = with_(OBS) + union(
     f"""SELECT {i} AS program_id, round(avg(abs({_err(i)})) FILTER (NOT {u('k', 3)} < 0.2), 6) AS raw_fitness,
  round(avg(abs({_err(i)})) FILTER ({u('k', 3)} < 0.2), 6) AS val_fitness FROM obs""" for i in _ALL)
+def _bag(i):
+    """Share of the bag draw: a cubic in the key modulo 2^31 - 1, coefficients from sha256('program:seed')."""
+    c = [f"(CAST('0x' || substr(sha256('{i}:0'), {8 * j + 1}, 8) AS BIGINT) % 2147483647)" for j in range(4)]
+    return f"((((((k * {c[3]} + {c[2]}) % 2147483647) * k + {c[1]}) % 2147483647) * k + {c[0]}) % 2147483647 / 2147483647.0E0)"
+
+
 SQL["score_oob"] = with_(OBS) + union(
-    f"""SELECT {i} AS program_id, round(avg(abs({_err(i)})) FILTER ({u('k', i + 1)} < 0.7), 6) AS raw_fitness,
- round(avg(abs({_err(i)})) FILTER (NOT {u('k', i + 1)} < 0.7), 6) AS oob_fitness FROM obs""" for i in _ALL)
+    f"""SELECT {i} AS program_id, round(avg(abs({_err(i)})) FILTER ({_bag(i)} < 0.7), 6) AS raw_fitness,
+ round(avg(abs({_err(i)})) FILTER (NOT {_bag(i)} < 0.7), 6) AS oob_fitness FROM obs""" for i in _ALL)
 SQL["output_transformer"] = with_(OBS) + f"SELECT {KEY}, round(1 / (1 + exp(-signal / 100.0E0)), 8) AS probability FROM obs"
 SQL["program_shape"] = """
 SELECT CAST(c_custkey AS INT) AS program_id, true AS valid, CASE s WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 6 END AS length,

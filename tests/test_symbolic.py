@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabwright.functions.protected import BUILT_IN, Scalar, make_function
-from tabwright.operators import breeding, expressions, population, scoring, symbolic
+from tabwright.operators import breeding, expressions, population, scoring, splits, symbolic
 from tabwright.sources.fixtures import OBS_FEATURES, OBS_KEY
 
 EDGES = [0.0, 0.001, -0.001, 0.0011, -0.0011, 1.0, -1.0, 2.5, 1e308, -1e308, float("inf"), float("-inf"), float("nan"), None]
@@ -189,6 +189,40 @@ def test_regressor_learns_and_repeats(obs, tmp_path, spark):
         est.fit(obs, **kw)
 
 
+def test_resume_goes_on_from_the_stored_generation(obs, tmp_path):
+    kw = dict(features=["f_tax", "f_size"], target="signal", key="k", unique_key=OBS_KEY)
+    path, two = str(tmp_path / "h"), {**SMALL, "generations": 2, "max_samples": 0.7}
+    est = symbolic.SymbolicRegressor(**two, history_path=path).fit(obs, **kw)
+    other = symbolic.SymbolicRegressor(**{**two, "generations": 3}).fit(obs, **kw, resume=path)
+    for a, b in zip(other.details_[:2], est.details_, strict=True):
+        assert a[:2] == b[:2] and np.allclose(a[2:6], b[2:6], rtol=1e-12, atol=0)       # sums may differ in the last bit
+    est.warm_start, est.generations, est.history_path = True, 3, None
+    est.fit(obs, **kw)
+    bred = [{(r.generation, r.program_id, str(r.nodes)) for r in e.population_.collect()} for e in (est, other)]
+    assert bred[0] == bred[1] and len(bred[0]) == 40
+    with pytest.raises(ValueError):
+        symbolic.SymbolicRegressor(**{**two, "generations": 1}).fit(obs, **kw, resume=path)
+
+
+def test_classifier_with_its_own_output(obs):
+    half = Scalar("half", 1, lambda a: F.lit(0.5) + F.lit(0.5) * F.tanh(a), lambda a: 0.5 + 0.5 * np.tanh(a))
+    est = symbolic.SymbolicClassifier(**{**SMALL, "generations": 2}, output=half)
+    p = est.fit(obs, ["f_tax", "f_size"], "gender", "k", OBS_KEY).transform(obs).select(F.col("probability")[1].alias("p"))
+    assert p.filter("p < 0 or p > 1 or p is null").count() == 0
+
+
+def test_bags_never_repeat(spark):
+    rows = spark.range(0, 20000, 4)
+    inside = lambda program, seed: splits.in_bag("id", program, seed, 0.6)                    # noqa: E731
+    others = [inside(20001, 0), inside(2, 0), inside(1, "0/1")]
+    got = rows.select(inside(1, 0).alias("a"), *[o.alias(f"b{i}") for i, o in enumerate(others)]).toPandas()
+    assert abs(got["a"].mean() - 0.6) < 0.03
+    for i in range(len(others)):
+        assert 0.4 < (got["a"] != got[f"b{i}"]).mean() < 0.56                               # 0.48 by chance
+    far = spark.range(5).select((F.col("id") + (1 << 40)).alias("id")).select(inside(1, 0).alias("a"))
+    assert far.count() == 5
+
+
 def test_early_stop_and_neighbours(obs):
     kw = dict(features=["f_tax", "f_size", "f_spiky"], target="signal", key="k", unique_key=OBS_KEY)
     est = symbolic.SymbolicRegressor(**{**SMALL, "stopping_criteria": 1e9}).fit(obs, **kw)
