@@ -77,9 +77,10 @@ class Encoder:
             memo.update(found)
         out = {}
         for chunk, (base, tail) in split.items():
-            ids = found.get(base) or memo[base]
+            # white space alone may have no ids, so presence decides, not the value
+            ids = found[base] if base in found else memo[base]
             if tail:
-                ids += found.get("\0" + tail) or memo["\0" + tail]
+                ids += found["\0" + tail] if "\0" + tail in found else memo["\0" + tail]
             out[chunk] = ids
         if len(memo) + len(out) <= MEMO:
             memo.update(out)

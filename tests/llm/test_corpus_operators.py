@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabwright.llm import (common, exact_dedup, line_dedup, mixing, ngram_join, packing, pii, quality_rules, queries,
-                           simple8b, token_output, toxicity, warc)
+                           simple8b, token_output, tokens, toxicity, warc)
 from tabwright.session import new_path
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -267,6 +267,19 @@ def test_packing(docs, pdf):
     assert groups.ngroups <= 1.02 * rows["length"].sum() / 2048 + 2
 
 
+@pytest.mark.parametrize("name, keeps_space", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+@pytest.mark.parametrize("room", [0, 3, 500_000])
+def test_encoder_with_a_full_memo(name, keeps_space, room, monkeypatch):
+    from tokenizers import Tokenizer
+    monkeypatch.setattr(tokens, "MEMO", room)
+    plain = Tokenizer.from_file(queries.tokenizer_path(name))
+    encode = tokens.Encoder(plain, {}, keeps_space).encode
+    texts = ["a \t b", "a \r b", "a \u00a0 b", "a \u3000 b", "a \t\t\r b", "end. of, it. \t of,", "\t", "", " ", "a b a b."]
+    for _ in range(2):
+        for text, data in zip(texts, encode(texts), strict=True):
+            assert np.frombuffer(data, dtype="<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_best_two_fit_replaces_the_smallest():
     assert sorted(map(sorted, packing.pack(np.array([60, 30, 20, 17]), 100))) == [[17, 20, 60], [30]]
 
