@@ -49,7 +49,7 @@ def encoder(path: str, keeps_space: bool) -> Encoder:
 
 
 class Encoder:
-    def __init__(self, tokenizer, memo: dict[str, bytes], keeps_space: bool):
+    def __init__(self, tokenizer, memo: dict[str | tuple[str], bytes], keeps_space: bool):
         self.tokenizer, self.memo, self.keeps_space = tokenizer, memo, keeps_space
 
     def _direct(self, texts: list[str]) -> list[bytes]:
@@ -59,20 +59,20 @@ class Encoder:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
     def _learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """Ids of chunks outside the memo; their punctuation at the end is looked up apart."""
+        """Ids of chunks outside the memo; their punctuation at the end is looked up apart, as a tuple of one."""
         memo, split, wanted = self.memo, {}, set()
         for chunk in chunks:
             base = chunk.rstrip(TAIL)
             if base and base[-1].isalnum():
                 split[chunk] = base, chunk[len(base):]
                 wanted.add(base)
-                wanted.add("\0" + split[chunk][1]) if split[chunk][1] else None
+                wanted.add((split[chunk][1],)) if split[chunk][1] else None
             else:
                 split[chunk] = chunk, ""
                 wanted.add(chunk)
         new = [w for w in wanted if w not in memo]
         lead = " " if self.keeps_space else ""
-        found = dict(zip(new, self._direct([w[1:] if w[0] == "\0" else lead + w for w in new]), strict=True))
+        found = dict(zip(new, self._direct([w[0] if isinstance(w, tuple) else lead + w for w in new]), strict=True))
         if len(memo) + len(found) <= MEMO:
             memo.update(found)
         out = {}
@@ -80,7 +80,7 @@ class Encoder:
             # white space alone may have no ids, so presence decides, not the value
             ids = found[base] if base in found else memo[base]
             if tail:
-                ids += found["\0" + tail] if "\0" + tail in found else memo["\0" + tail]
+                ids += found[(tail,)] if (tail,) in found else memo[(tail,)]
             out[chunk] = ids
         if len(memo) + len(out) <= MEMO:
             memo.update(out)

@@ -280,6 +280,17 @@ def test_encoder_with_a_full_memo(name, keeps_space, room, monkeypatch):
             assert np.frombuffer(data, dtype="<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+@pytest.mark.parametrize("name, keeps_space", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_encoder_keeps_nul_characters(name, keeps_space):
+    from tokenizers import Tokenizer
+    plain = Tokenizer.from_file(queries.tokenizer_path(name))
+    encode = tokens.Encoder(plain, {}, keeps_space).encode
+    texts = ["a \0b c", "\0a b", "a \0. b. c", "a b. \0", "a\0 b", "\0", "a \0\0 b", "x \0b, y, \0, z"]
+    for _ in range(2):
+        for text, data in zip(texts, encode(texts), strict=True):
+            assert np.frombuffer(data, dtype="<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_best_two_fit_replaces_the_smallest():
     assert sorted(map(sorted, packing.pack(np.array([60, 30, 20, 17]), 100))) == [[17, 20, 60], [30]]
 
