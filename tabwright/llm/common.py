@@ -26,6 +26,11 @@ def words_of(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE))
 
 
+def carried(column: str) -> Column:
+    """A long id as a string: pandas makes a long column with a NULL in it float64, which rounds ids beyond 2^53."""
+    return F.col(column).cast("string").alias(column)
+
+
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` applied to ``value`` evaluated once per row (lambda bodies re-evaluate outer expressions)."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import SPACE, text_of
+from tabwright.llm.common import SPACE, carried, text_of
 from tabwright.session import attach, stage
 
 SLOTS = 4
@@ -180,8 +180,7 @@ def _summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """One row per digest and batch, so that a hot digest reaches its shard as a few rows."""
     for rows in batches:
         found: dict[bytes, tuple] = {}
-        ids = rows["doc_id"].astype("object").where(rows["doc_id"].notna(), None)
-        for digest, doc_id in zip(rows["digest"], ids, strict=True):
+        for digest, doc_id in zip(rows["digest"], rows["doc_id"], strict=True):
             entry = (_int(doc_id), 1, 1)
             digest = bytes(digest)
             old = found.get(digest)
@@ -195,13 +194,20 @@ def _shards(df: DataFrame, n: int) -> DataFrame:
 
 
 def _frame(index: CuckooIndex, shard: int) -> pd.DataFrame:
-    out = pd.DataFrame(list(index.rows(shard)), columns=["shard", "digest", "keep_id", "group_size", "n_least", "filter"])
-    return out.astype({"keep_id": "Int64", "group_size": "Int64", "n_least": "Int64"})
+    columns = dict(zip(["shard", "digest", "keep_id", "group_size", "n_least", "filter"], zip(*index.rows(shard), strict=True),
+                       strict=True))
+    return pd.DataFrame({name: pd.array(values, "Int64") if name in ("keep_id", "group_size", "n_least") else list(values)
+                         for name, values in columns.items()})
+
+
+def _carried(index: DataFrame) -> DataFrame:
+    return index.withColumn("keep_id", carried("keep_id"))
 
 
 def insert(index: DataFrame | None, found: DataFrame, n_shards: int) -> DataFrame:
     """The index (None: a new one of ``n_shards``) with the digests of ``found`` added."""
-    new = _shards(found.mapInPandas(_summaries, "digest binary, keep_id long, n long, n_least long"), n_shards)
+    rows = found.select(carried("doc_id"), "digest").mapInPandas(_summaries, "digest binary, keep_id long, n long, n_least long")
+    new = _shards(rows, n_shards).withColumn("keep_id", carried("keep_id"))
 
     def fill(key: tuple, old: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         out = CuckooIndex.load(old, rows["digest"].nunique() if len(old) == 0 else 0)
@@ -211,7 +217,7 @@ def insert(index: DataFrame | None, found: DataFrame, n_shards: int) -> DataFram
 
     if index is None:
         index = found.sparkSession.createDataFrame([], INDEX)
-    return index.groupBy("shard").cogroup(new.groupBy("shard")).applyInPandas(fill, INDEX)
+    return _carried(index).groupBy("shard").cogroup(new.groupBy("shard")).applyInPandas(fill, INDEX)
 
 
 def delete(index: DataFrame, gone: DataFrame, n_shards: int) -> DataFrame:
@@ -223,7 +229,7 @@ def delete(index: DataFrame, gone: DataFrame, n_shards: int) -> DataFrame:
         return _frame(out, int(key[0]))
 
     dropped = _shards(gone.filter(F.col("digest").isNotNull()).select("digest").distinct(), n_shards)
-    return index.groupBy("shard").cogroup(dropped.groupBy("shard")).applyInPandas(drop, INDEX)
+    return _carried(index).groupBy("shard").cogroup(dropped.groupBy("shard")).applyInPandas(drop, INDEX)
 
 
 def shard_count(n_rows: int, shard_keys: int = SHARD_KEYS) -> int:

@@ -31,7 +31,7 @@ MOST = 2
 #: Units aimed at in a block of a flight, and how many blocks meet in one of the next round.
 BLOCK = 20_000
 FAN_IN = 32
-STATE = "doc_id long, source string, mark long, n_rows long, size long, pi double, block long"
+STATE = "doc_id long, no_id boolean, source string, mark long, n_rows long, size long, pi double, block long"
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -116,7 +116,7 @@ def landing(pi: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def _fly(last: bool, seed: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "mark"], kind="stable", na_position="last").reset_index(drop=True)
+        rows = rows.sort_values(["no_id", "doc_id", "mark"], kind="stable").reset_index(drop=True)
         words = np.frombuffer(f"{key[0]}".encode(), dtype=np.uint8).tolist()
         rng = np.random.default_rng([seed, int(key[1]), len(rows), int(last), *words])
         draws = iter(rng.random(4 * len(rows) + 8).tolist()).__next__
@@ -142,11 +142,13 @@ def mix(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
     aimed = stage(aimed.withColumn("ratio", ratio), "aimed")
     whole = F.floor("ratio")
     blocks = max(1, math.ceil(aimed.count() / block))
-    state = aimed.select("doc_id", "source", "mark", "n_rows", (F.col("size") * F.col("n_rows")).alias("size"),
+    # ids without NULLs: pandas would make a column with one float64, which rounds ids beyond 2^53
+    own = F.when(~F.col("no_id"), F.col("doc_id"))
+    state = aimed.select(F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), "source", "mark", "n_rows", (F.col("size") * F.col("n_rows")).alias("size"),
                          (F.col("ratio") - whole).alias("pi"), F.lit(0).cast("long").alias("block"))
     decided = []
     while True:
-        dealt = state.withColumn("block", F.pmod(F.xxhash64("doc_id", "mark", F.lit(seed)), F.lit(blocks)))
+        dealt = state.withColumn("block", F.pmod(F.xxhash64(own, "mark", F.lit(seed)), F.lit(blocks)))
         flown = stage(dealt.groupBy("source", "block").applyInPandas(_fly(blocks == 1, seed), STATE), "flight")
         if blocks == 1:
             decided.append(flown)
@@ -157,7 +159,7 @@ def mix(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
     drawn = decided[0]
     for more in decided[1:]:
         drawn = drawn.unionByName(more)
-    drawn = drawn.select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("mark").alias("m"),
+    drawn = drawn.select(own.alias("d"), F.col("source").alias("s"), F.col("mark").alias("m"),
                          F.col("pi").cast("long").alias("extra"))
     same = (F.col("doc_id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("s"))
             & (F.col("mark") == F.col("m")))

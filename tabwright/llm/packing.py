@@ -29,7 +29,7 @@ from tabwright.session import stage
 #: Pieces aimed at in a block.
 BLOCK = 60_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PACKED = PIECES + ", block long, sequence_id long, offset long"
+PACKED = PIECES + ", no_id boolean, block long, sequence_id long, offset long"
 
 
 class Pool:
@@ -104,28 +104,29 @@ def _pieces(path: str, end_id: int, capacity: int):
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(path, False).encode
         for rows in batches:
-            for doc_ids, texts in text_batches(rows.astype({"doc_id": "object"}), ["doc_id"], "text"):
+            for doc_ids, texts in text_batches(rows, ["doc_id"], "text"):
                 out = []
                 for doc_id, data in zip(doc_ids, encode(texts), strict=True):
                     data += tail
-                    doc_id = None if doc_id is None or doc_id != doc_id else int(doc_id)
+                    doc_id = None if doc_id is None else int(doc_id)
                     for piece, at in enumerate(range(0, len(data), 4 * capacity)):
                         own = data[at:at + 4 * capacity]
                         out.append((doc_id, piece, at // 4, len(own) // 4, zlib.crc32(own)))
-                yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]) \
-                    .astype({"doc_id": "Int64"})
+                made = pd.DataFrame([x[1:] for x in out], columns=["piece", "start", "length", "ids_crc32"])
+                made.insert(0, "doc_id", pd.array([x[0] for x in out], "Int64"))
+                yield made
     return cut
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
     """Pieces of at most ``capacity`` token ids; only documents longer than that are cut."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), text_of().alias("text"))
     return rows.mapInPandas(_pieces(tokenizer, end_id, capacity), PIECES)
 
 
 def _fill(capacity: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece"], kind="stable", ignore_index=True)
+        rows = rows.sort_values(["length", "no_id", "doc_id", "piece"], kind="stable", ignore_index=True)
         lengths = rows["length"].to_numpy()
         bins = pack(lengths, capacity)
         sizes = np.array([s for held in bins for s in held], dtype=np.int64)
@@ -144,9 +145,12 @@ def best_two_fit(pieces: DataFrame, capacity: int, block: int = BLOCK) -> DataFr
     """``pieces`` (columns of ``PIECES``) with sequence_id and offset."""
     dealt = stage(pieces.withColumn("deal", F.xxhash64("doc_id", "piece", F.spark_partition_id())), "pieces")
     blocks = max(1, math.ceil(dealt.count() / block))
+    # ids without NULLs: pandas would make a column with one float64, which rounds ids beyond 2^53
     return dealt.withColumn("block", F.pmod("deal", F.lit(blocks)).cast("long")).drop("deal") \
-        .withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}) \
-        .groupBy("block").applyInPandas(_fill(capacity), PACKED).drop("block")
+        .withColumns({"no_id": F.col("doc_id").isNull(), "doc_id": F.coalesce("doc_id", F.lit(0).cast("long")),
+                      "sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}) \
+        .groupBy("block").applyInPandas(_fill(capacity), PACKED) \
+        .withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("block", "no_id")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, block: int = BLOCK) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabwright.llm import simple8b
-from tabwright.llm.common import text_of
+from tabwright.llm.common import carried, text_of
 from tabwright.llm.tokens import encoder
 
 #: Token ids after which a chunk is closed.
@@ -57,9 +57,9 @@ def _writer(path: str, end_id: int):
                                  "doc_ids": [ids], "lengths": [lengths], "payload": [payload]})
 
         for rows in batches:
-            for doc_ids, texts in text_batches(rows.astype({"doc_id": "object"}), ["doc_id"], "text"):
+            for doc_ids, texts in text_batches(rows, ["doc_id"], "text"):
                 for doc_id, data in zip(doc_ids, encode(texts), strict=True):
-                    ids.append(None if doc_id is None or doc_id != doc_id else int(doc_id))
+                    ids.append(None if doc_id is None else int(doc_id))
                     lengths.append(len(data) // 4 + 1)
                     pieces += [data, tail]
                     held += lengths[-1]
@@ -76,7 +76,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, parts:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     rows = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()) \
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    rows.mapInPandas(_writer(tokenizer, end_id), CHUNKS).write.parquet(path)
+    rows.select(carried("doc_id"), "text").mapInPandas(_writer(tokenizer, end_id), CHUNKS).write.parquet(path)
 
 
 def _documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -86,17 +86,22 @@ def _documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             lengths = np.asarray(r.lengths, dtype=np.int64)
             starts = np.cumsum(lengths) - lengths
             yield pd.DataFrame({
-                "doc_id": pd.array([None if x is None or x != x else int(x) for x in r.doc_ids], "Int64"),
+                "doc_id": pd.array([None if x is None else int(x) for x in r.doc_ids], "Int64"),
                 "part": r.part, "chunk": r.chunk, "start": starts, "n_tokens": lengths,
                 "ids_crc32": [zlib.crc32(ids[a:a + n].tobytes()) for a, n in zip(starts, lengths, strict=True)]})
 
 
+def _chunks(spark: SparkSession, path: str) -> DataFrame:
+    """The chunks with their ids as strings (see ``carried``)."""
+    return spark.read.schema(CHUNKS).parquet(path).withColumn("doc_ids", F.col("doc_ids").cast("array<string>"))
+
+
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """Per document, from the files: start (ids of all documents before), n_tokens and the checksum of its ids.
 
     Chunk sizes are summed per part and parts are summed in a table of one row per part.
     """
-    chunks = spark.read.schema(CHUNKS).parquet(path)
+    chunks = _chunks(spark, path)
     sizes = chunks.select("part", "chunk", "n_ids")
     parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("part_start"))
@@ -114,8 +119,8 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
             for r in rows.itertuples(index=False):
                 at = 0
                 for doc_id, n in zip(r.doc_ids, r.lengths, strict=True):
-                    yield pd.DataFrame({"doc_id": pd.array([None if doc_id is None or doc_id != doc_id else int(doc_id)],
+                    yield pd.DataFrame({"doc_id": pd.array([None if doc_id is None else int(doc_id)],
                                                            "Int64"),
                                         "ids": [simple8b.decode(bytes(r.payload), at, at + n).astype(np.int64)]})
                     at += int(n)
-    return spark.read.schema(CHUNKS).parquet(path).mapInPandas(ids, "doc_id long, ids array<long>")
+    return _chunks(spark, path).mapInPandas(ids, "doc_id long, ids array<long>")

@@ -267,6 +267,27 @@ def test_packing(docs, pdf):
     assert groups.ngroups <= 1.02 * rows["length"].sum() / 2048 + 2
 
 
+def test_large_ids_beside_a_missing_one(spark):
+    big = 2 ** 60
+    rows = [(None, "one two three", "a"), (None, "alone", "a")] + [(big + 2 * i + 1, f"text {i // 2} of the row", "a") for i in range(40)]
+    some = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1)
+    ids = Counter(r[0] for r in rows)
+    got = exact_dedup.assign(some).collect()
+    assert Counter(r.doc_id for r in got if r.kept) == Counter({None: 2} | {big + 4 * i + 1: 1 for i in range(20)})
+    assert exact_dedup.keep_first(some).count() == 22
+    found = exact_dedup.digests(some)
+    index = exact_dedup.build_index(found, 42)
+    index = exact_dedup.delete(exact_dedup.insert(index, found, 1), found.limit(0), 1)
+    assert {r.keep_id for r in exact_dedup.live(index).collect()} == {r.keep_id for r in got}
+    assert Counter(r.doc_id for r in mixing.taken_rows(some).collect()) == ids
+    path = new_path(spark, "t")
+    token_output.write_tokens(some, path, queries.tokenizer_path("byte_bpe_50k.json"), 2, 1)
+    assert Counter(r.doc_id for r in token_output.read_tokens(spark, path).collect()) == ids
+    assert Counter(r.doc_id for r in token_output.read_ids(spark, path).collect()) == ids
+    packed = packing.pack_documents(some, queries.tokenizer_path("word_bpe_49k.json"), 0, 64)
+    assert Counter(r.doc_id for r in packed.collect()) == ids
+
+
 @pytest.mark.parametrize("name, keeps_space", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
 @pytest.mark.parametrize("room", [0, 3, 500_000])
 def test_encoder_with_a_full_memo(name, keeps_space, room, monkeypatch):
