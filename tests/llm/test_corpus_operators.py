@@ -193,6 +193,36 @@ def test_line_dedup(docs, pdf):
     assert got == {i: ",".join(map(str, sorted(gone[i]))) for i in pdf["doc_id"]}
 
 
+def test_line_dedup_reaches_its_recall_by_edit_similarity_alone(spark):
+    rng = np.random.default_rng(5)
+    rows, pairs = [], defaultdict(list)
+    for size in (10, 19, 20, 29, 30, 45, 59, 60, 70, 120, 300, 900):
+        for _ in range(60):
+            a = rng.choice(list("etaoinshrdlucfgmwy"), size)
+            a[5::7] = " "
+            a[[0, -1]] = "x"
+            b = a.copy()
+            at = rng.choice(np.arange(1, size - 1), size // 10, replace=False)
+            b[at] = rng.choice(list("zvkjpb"), len(at))
+            one, two = "".join(a), re.sub(" +", " ", "".join(b))
+            most = int(0.1 * max(len(one), len(two)) + 1e-9)
+            assert distance(one, two) <= most
+            rows += [(len(rows), one), (len(rows) + 1, two)]
+            pairs[size].append(len(rows) - 1)
+    got = {r.doc_id: r.n_dropped for r in line_dedup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    recall = {size: np.mean([got[i] for i in ids]) for size, ids in pairs.items()}
+    assert all(r == 1 for size, r in recall.items() if size < line_dedup.SHORT), recall
+    assert np.mean([r for size, r in recall.items() if size >= line_dedup.SHORT]) >= 0.95, recall
+    assert not any(got[i - 1] for size, ids in pairs.items() for i in ids if size > 10)
+
+
+def test_line_dedup_of_short_and_unspaced_lines(spark):
+    rows = [(1, "Yes\n- -\n\n同じ文がここにもう一度書かれている"), (2, "yes!\n- -\n\n同じ文がここにもう一度書かれている。"),
+            (3, "no\n同じ文がここにもう一度書かれてゐる")]
+    got = {r.doc_id: r.dropped for r in line_dedup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "", 2: "0,3", 3: "1"}
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
