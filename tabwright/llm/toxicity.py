@@ -41,6 +41,7 @@ REACH = 5
 FEATURES = ["word_rate", "word_hits", "stem_rate", "stem_hits", "near_rate", "hidden_rate", "hidden_hits", "capitals",
             "shouted", "marks", "mixed_rate", "weight", "words"]
 _WORD = re.compile(r"\w+")
+_LETTERS = re.compile(r"[^\W\d_]+")
 _TOKEN = re.compile(r"[^\s]+")
 _MIXED = re.compile(r"(?=\S*[^\W\d_])\S*[0-9@$!|*](?=\S*[^\W\d_])\S*")
 
@@ -56,12 +57,12 @@ def _measure(text: str, lexicon: dict[str, float], second: frozenset) -> tuple:
     mixed = _MIXED.findall(text)
     hidden = sum(w in lexicon for m in mixed for w in (m.lower().strip(".,;:!?").translate(PLAIN),
                                                        re.sub(r"[^\w]", "", m.lower())))
-    letters = sum(c.isalpha() for c in text) if len(text) < 200 else None
+    letters = sum(map(len, _LETTERS.findall(text)))
     upper = len(re.findall(r"[A-ZÀ-ÖØ-Þ]", text))
     shouted = len(re.findall(r"\b[A-ZÀ-ÖØ-Þ]{3,}\b", text))
     weight = sum(lexicon[words[i]] for i in hits) + sum(lexicon[s] for s in stems)
     return (len(hits) / n, min(len(hits), 10.0), len(stems) / n, min(len(stems), 10.0), near / n, hidden / n,
-            min(hidden, 10.0), upper / (letters or len(text)), shouted / n, (text.count("!") + text.count("?")) / n,
+            min(hidden, 10.0), upper / max(letters, 1), shouted / n, (text.count("!") + text.count("?")) / n,
             len(mixed) / n, min(weight, 50.0), math.log1p(n))
 
 

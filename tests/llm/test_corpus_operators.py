@@ -419,6 +419,12 @@ def test_personal_data_added_spans(spark):
         assert r.n_email == 1 and r.n_phone == 0 and r.spans.startswith("phone:12:") and r.spans.count("email:") == 2
 
 
+def test_capitals_mean_the_same_at_every_length():
+    rate = lambda text: toxicity._measure(text, {}, frozenset())[toxicity.FEATURES.index("capitals")]     # noqa: E731
+    assert rate("SHOUT now 123 !!! ") == pytest.approx(rate("SHOUT now 123 !!! " * 50)) == pytest.approx(5 / 8)
+    assert rate("1 2 3 " * 50) == 0
+
+
 def test_toxicity_held_out(spark, sf_dir):
     docs = spark.read.parquet(sf_dir.replace("sf0.001", "sf0.01") + "/documents.parquet")
     labels = spark.read.parquet(sf_dir.replace("sf0.001", "sf0.01") + "/labels.parquet")
