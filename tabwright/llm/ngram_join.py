@@ -90,7 +90,8 @@ def _signed(n: int):
         seeds = seed_pairs(TREES * DEPTH)
         for rows in batches:
             sets = [shingles(text, n) for text in rows["text"]]
-            yield pd.DataFrame({"doc_id": rows["doc_id"].astype("Int64"), "mark": rows["mark"],
+            ids = pd.array([None if x is None else int(x) for x in rows["doc_id"]], "Int64")
+            yield pd.DataFrame({"doc_id": ids, "mark": rows["mark"],
                                 "class": [digest(s) for s in sets],
                                 "signature": [signature(s, seeds).tobytes() if len(s) else None for s in sets]})
     return run
@@ -98,7 +99,7 @@ def _signed(n: int):
 
 def signatures(docs: DataFrame, n: int = N) -> DataFrame:
     """doc_id, mark (hash of the text), class (digest of the shingle set; NULL without shingles) and signature."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("mark"),
+    rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.xxhash64(text_of()).alias("mark"),
                        text_of().alias("text"))
     return rows.mapInPandas(_signed(n), "doc_id long, mark long, class binary, signature binary")
 
@@ -274,10 +275,16 @@ def _marked(n: int):
 
 
 def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """``grouped`` without its group."""
+    return grouped(docs, n, threshold).drop("group")
+
+
+def grouped(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, mark (hash of its text), class_id, n_links and component_id.
 
     ``class_id`` is the smallest doc_id with the same shingle set, ``n_links`` the number of other documents of
     similarity ``threshold`` or more, ``component_id`` the smallest doc_id reachable over such links.
+    ``group`` numbers linked documents whatever their ids; it is NULL for texts without shingles.
     """
     signed = stage(signatures(docs, n), "signatures")
     classes = stage(signed.filter("class is not null").groupBy("class").agg(
@@ -329,17 +336,29 @@ def _report(signed: DataFrame, classes: DataFrame, counts: DataFrame, linked: Da
     roots = known.filter("component is not null").groupBy("component").agg(F.min("class_id").alias("component_id"))
     known = known.join(roots, "component", "left").select(
         F.col("class").alias("its_class"), "class_id", "n_docs", F.coalesce("links", F.lit(0)).alias("links"),
-        F.coalesce("component_id", "class_id").alias("component_id"))
+        F.coalesce("component_id", "class_id").alias("component_id"),
+        F.coalesce("component", "node").alias("group"))
     rows = signed.join(known, F.col("class") == F.col("its_class"), "left")
     lone = F.col("its_class").isNull()
     return rows.select("doc_id", "mark", F.when(lone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
                        F.when(lone, 0).otherwise(F.col("n_docs") - 1 + F.col("links")).cast("long").alias("n_links"),
-                       F.when(lone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+                       F.when(lone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "group")
 
 
 def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its group of linked documents, with all their columns."""
-    gone = stage(join(docs, n, threshold).filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-                 .select(F.col("doc_id").alias("__tw_gone"), F.col("mark").alias("__tw_mark")).distinct(), "near")
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__tw_gone"))
-                     & (F.xxhash64(text_of()) == F.col("__tw_mark")), "left_anti")
+    """One row of each group of linked documents, with all its columns: the first by id (NULL last), then hash of the text.
+
+    Of rows that repeat that id and text one stays. Texts without shingles have no group and stay.
+    """
+    rows = stage(grouped(docs, n, threshold).filter("group is not null").select("doc_id", "mark", "group"), "groups")
+    head = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("head")
+    rows = rows.join(rows.groupBy("group").agg(head), "group")
+    first = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("mark") == F.col("head.mark"))
+    told = rows.groupBy("doc_id", "mark").agg(F.max(first).alias("__tw_first"), F.count("*").alias("__tw_n")) \
+        .filter("not __tw_first or __tw_n > 1").withColumnsRenamed({"doc_id": "__tw_id", "mark": "__tw_mark"})
+    told = stage(told, "near")
+    own = docs.join(told, F.col("doc_id").cast("long").eqNullSafe(F.col("__tw_id"))
+                    & (F.xxhash64(text_of()) == F.col("__tw_mark")), "left")
+    once = own.filter("__tw_first is null")
+    again = own.filter("__tw_first").dropDuplicates(["__tw_id", "__tw_mark"])
+    return once.unionByName(again).select(*docs.columns)

@@ -157,6 +157,21 @@ def test_ngram_join(docs, pdf, tile, monkeypatch):
     assert rows["component_id"].to_dict() == root
 
 
+def test_one_of_a_group_stays_whatever_its_ids(spark):
+    base = [f"w{k}" for k in range(60)]
+    near = [" ".join([*base, f"end{i}"]) for i in range(3)]
+    other = " ".join(f"v{k}" for k in range(30))
+    rows = [(None, t) for t in near]
+    table = lambda x: spark.createDataFrame(x, "doc_id long, text string")          # noqa: E731
+    assert len(ngram_join.keep_one(table([*rows, (None, other), (None, None), (None, "")])).collect()) == 4
+    assert len(ngram_join.keep_one(table([(7, t) for t in near] + [(7, other)])).collect()) == 2
+    mixed = ngram_join.keep_one(table([*rows, (9, near[0]), (9, near[0]), (8, other)])).collect()
+    assert sorted(r.doc_id for r in mixed) == [8, 9]
+    big = 2 ** 60 + 1
+    some = table([(None, other), (big, near[0]), (big + 2, near[1])]).coalesce(1)
+    assert {r.doc_id for r in ngram_join.keep_one(some).collect()} == {None, big}
+
+
 def test_prefix_length_meets_recall():
     d = ngram_join.least_depth()
     assert 1 - (1 - 0.8 ** d) ** ngram_join.TREES >= ngram_join.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** ngram_join.TREES
