@@ -492,7 +492,7 @@ def explained_variance(spark, sf_dir):
 @query
 def outlier_benchmark(spark, sf_dir):
     df = _obs(spark, sf_dir, *OBS_KEY, *NUMERIC, "signal")
-    return linear.mean_scores(study.outlier_benchmark(df, OBS_KEY, NUMERIC, ["f_order", "f_spiky"], "signal", 20))
+    return linear.mean_scores(study.outlier_benchmark(df, OBS_KEY, NUMERIC, ["f_order", "f_spiky"], "signal", 100))
 
 
 @query
@@ -617,7 +617,7 @@ def append_synthetic(spark, sf_dir):
 def kmeans_inertia(spark, sf_dir):
     df = _obs(spark, sf_dir, "f_size", "f_retail", "signal")
     scaled = scaling.fit_minmax(df, ["f_size", "f_retail", "signal"]).transform(df)
-    return synthetic.kmeans_sweep(scaled, ["f_size", "f_retail", "signal"], [1, 2, 3, 4], 1)[0]
+    return synthetic.kmeans_sweep(scaled, ["f_size", "f_retail", "signal"], list(range(1, 16)), 1)[0]
 
 
 @query
@@ -632,7 +632,7 @@ def synthetic_benchmark(spark, sf_dir):
     df = _obs(spark, sf_dir, *OBS_KEY, "f_tax", "f_size", "f_spiky", "signal")
     scaled = scaling.fit_minmax(df, ["f_tax", "f_size", "f_spiky"]).transform(df)
     return linear.mean_scores(synthetic.compare_synthetic(
-        scaled, OBS_KEY, ["f_tax", "f_size", "f_spiky"], "signal", 10, [3, 5], [1.0, 0.5], 1))
+        scaled, OBS_KEY, ["f_tax", "f_size", "f_spiky"], "signal", 100, [5, 10, 15], [1.0, 0.8, 0.5], 1))
 
 
 # --- expressions ----------------------------------------------------------------------------------------------------------------
