@@ -27,7 +27,7 @@ _RARE = re.compile(r"[^\S \n\t\r\x0b\x0c]")
 _UINT = array("I")
 
 
-def _worker_memory() -> dict:
+def worker_memory() -> dict:
     """A dict that lasts as long as the worker process, beyond the task and its copy of this module."""
     name = "_tabwright_worker_memory"
     if name not in sys.modules:
@@ -40,7 +40,7 @@ def encoder(path: str, keeps_space: bool) -> Encoder:
 
     ``keeps_space``: the space before a chunk belongs to it (byte-level); otherwise white space is dropped.
     """
-    memory, key = _worker_memory(), f"{path} {keeps_space}"
+    memory, key = worker_memory(), f"{path} {keeps_space}"
     if key not in memory:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
