@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tabwright.functions.draws import PRIME, coefficients, cubic
 from tabwright.functions.protected import BUILT_IN, Scalar
 from tabwright.operators.expressions import sigmoid, to_column, to_vector
-from tabwright.operators.ordering import value_ranks
+from tabwright.operators.ordering import running
 from tabwright.operators.quality import long_form, pearson
 from tabwright.operators.splits import in_bag
 from tabwright.session import attach, stage
@@ -301,62 +301,97 @@ def _merge(a, b):
 
 
 def _spearman(df, programs, features, target, weight, functions, transform, val, bag):
-    """One distributed ranking per program: for a hall of fame or a small set."""
-    frames = []
+    """All programs, and all parts of their rows, in one ranking: the number of jobs depends on neither (``PER_JOB`` at a time)."""
+    groups, entries = [], []
     for pid, nodes in programs:
         f = to_column(nodes, features, functions)
-        f = transform(f) if transform else f
-        parts = _parts(weight, val, bag, pid)
-        table = None
-        for name, w in parts.items():
-            one = _rank_correlation(df.select(F.col(target).cast("double").alias("y"),
-                                              f.cast("double").alias("f"), w.alias("w")).filter("w > 0"))
-            one = one.select(F.lit(pid).alias("program_id"), F.col("r").alias(name))
-            table = one if table is None else table.join(one, "program_id")
-        frames.append(table)
-    out = frames[0]
-    for t in frames[1:]:
-        out = out.unionByName(t)
-    return out
-
-
-def _rank_correlation(pairs: DataFrame) -> DataFrame:
-    """|weighted correlation of average ranks|; equal pairs are merged before anything moves."""
-    merged = stage(pairs.na.drop().groupBy("y", "f").agg(
+        f = (transform(f) if transform else f).cast("double")
+        for name, w in _parts(weight, val, bag, pid).items():
+            groups.append((len(groups), pid, name))
+            entries.append((f, w.cast("double")))
+    table = None
+    for k in range(0, len(entries), PER_JOB):
+        own = [F.struct(F.lit(k + i).alias("g"), f.alias("f"), w.alias("w")) for i, (f, w) in enumerate(entries[k:k + PER_JOB])]
+        some = _rank_correlations(df.select(F.col(target).cast("double").alias("y"), F.explode(F.array(*own)).alias("e")).select(
+            "e.g", "y", "e.f", "e.w").filter("w > 0"))
+        table = some if table is None else table.unionByName(some)
+    names = list(dict.fromkeys(n for *_, n in groups))
+    known = df.sparkSession.createDataFrame(groups, "g int, program_id long, part string")
+    # one row a program and part
+    return known.join(table, "g", "left").groupBy("program_id").agg(
+        *[F.max(F.when(F.col("part") == n, F.coalesce("r", F.lit(0.0)))).alias(n) for n in names])
+
+
+def _ranks(values: DataFrame) -> tuple[DataFrame, dict]:
+    """(g, value, n, rank, _pairs) with the average rank of each distinct value inside its group, from
+    ``values(g, value, c, _pairs)``, and the rows of each group. One range sort by (g, value) ranks all groups."""
+    counts = stage(values.groupBy("g", "value").agg(F.sum("c").cast("bigint").alias("n"), F.sum("_pairs").alias("_pairs")), "values")
+    # one number a group
+    sizes = {r["g"]: r["n"] for r in counts.groupBy("g").agg(F.sum("n").alias("n")).collect()}
+    before, seen = [], 0
+    for g in sorted(sizes):
+        before.append((g, float(seen)))
+        seen += sizes[g]
+    run = running(counts, [F.col("g"), F.col("value")], {"_upto": F.col("n").cast("double")})
+    starts = df_of(counts, before, "g int, _before double")
+    return run.join(F.broadcast(starts), "g").select(
+        "g", "value", "n", (F.col("_upto") - F.col("_before") - (F.col("n") - 1) / 2.0).alias("rank"), "_pairs"), sizes
+
+
+def df_of(like: DataFrame, rows: list, schema: str) -> DataFrame:
+    return like.sparkSession.createDataFrame(rows, schema)
+
+
+def _rank_correlations(pairs: DataFrame) -> DataFrame:
+    """(g, r): |weighted correlation of average ranks| in each group of ``pairs(g, y, f, w)``; equal pairs are merged before
+    anything moves."""
+    merged = stage(pairs.na.drop().groupBy("g", "y", "f").agg(
         F.sum("w").alias("w"), F.count(F.lit(1)).alias("c")), "pairs")
-    size = merged.agg(F.sum("c").alias("rows"), F.count(F.lit(1)).alias("pairs")).first()
-    total, middle = size.pairs, ((size.rows or 0) + 1) / 2.0
+    total = merged.count()
+    both = merged.select("c", F.explode(F.array(*[
+        F.struct((2 * F.col("g") + i).alias("g"), F.col(v).alias("value")) for i, v in enumerate("yf")])).alias("e")).select(
+        "e.g", "e.value", "c", F.lit(1).cast("bigint").alias("_pairs"))
+    ranks, sizes = _ranks(both)
+    middle = df_of(merged, [(g, (n + 1) / 2.0) for g, n in sizes.items()], "g int, _middle double")
+    ranks = stage(ranks.join(F.broadcast(middle), "g").select(
+        "g", "value", (F.col("rank") - F.col("_middle")).alias("rank"), "_pairs"), "ranks")
     joined = merged
-    for v in ("y", "f"):
+    for i, v in enumerate("yf"):
         # how many merged pairs share a value decides whether its rank is broadcast
-        spread = merged.groupBy(v).agg(F.count(F.lit(1)).alias("_pairs"))
-        ranks = value_ranks(merged, v, F.col("c")).select(v, (F.col("rank") - middle).alias(f"r{v}"))
-        joined = attach(joined, ranks.join(spread, v), [v], "_pairs", total).drop("_pairs")
-    s = joined.agg(*[F.sum(e).alias(n) for n, e in {
+        own = ranks.filter(F.col("g") % 2 == i).select(
+            (F.col("g") / 2).cast("int").alias("g"), F.col("value").alias(v), F.col("rank").alias(f"r{v}"), "_pairs")
+        joined = attach(joined, own, ["g", v], "_pairs", total).drop("_pairs")
+    s = joined.groupBy("g").agg(*[F.sum(e).alias(n) for n, e in {
         "w": F.col("w"), "a": F.col("w") * F.col("ry"), "b": F.col("w") * F.col("rf"),
         "aa": F.col("w") * F.col("ry") * F.col("ry"), "bb": F.col("w") * F.col("rf") * F.col("rf"),
         "ab": F.col("w") * F.col("ry") * F.col("rf")}.items()])
     c = F.col
     top = c("ab") - c("a") * c("b") / c("w")
     low = (c("aa") - c("a") * c("a") / c("w")) * (c("bb") - c("b") * c("b") / c("w"))
-    return s.select(F.when(low > 0, F.abs(top / F.sqrt(low))).otherwise(0.0).alias("r"))
+    return s.select("g", F.when(low > 0, F.abs(top / F.sqrt(low))).otherwise(0.0).alias("r"))
+
+
+def _ranked(df: DataFrame, names: list[str]) -> DataFrame:
+    """The columns replaced by their average ranks, over the rows that have a value in all of them; one ranking for all."""
+    rows = stage(df.na.drop().select(F.monotonically_increasing_id().alias("_id"), *names), "outputs")
+    long = rows.select("_id", F.posexplode(F.array(*names)).alias("g", "value"))
+    ranks, _ = _ranks(long.select("g", "value", F.lit(1).alias("c"), F.lit(1).cast("bigint").alias("_pairs")))
+    placed = attach(long, stage(ranks.select("g", "value", "rank", "n"), "ranks"), ["g", "value"], "n",
+                    max(1, rows.count() * len(names)))
+    wide = placed.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("g", "rank"))).alias("_r"))
+    return wide.select(*[F.col("_r")[i]["rank"].alias(n) for i, n in enumerate(names)])
 
 
 def program_correlations(df: DataFrame, programs: list[tuple[int, list]], features: list[str],
                          functions: dict[str, Scalar] = BUILT_IN, ranks: bool = False) -> np.ndarray:
-    """|correlation| between the outputs of every pair of programs, from one moments pass."""
+    """|correlation| between the outputs of every pair of programs, from one moments pass; ``ranks``: of their ranks, over the
+    rows where every program has a value."""
     from tabwright.operators.gram import moments
     names = [f"p{i}" for i in range(len(programs))]
     out = df.select(*[to_column(p, features, functions).cast("double").alias(n)
                       for n, (_, p) in zip(names, programs)])
     if ranks:
-        corr = np.eye(len(programs))
-        for i in range(len(names)):
-            for j in range(i + 1, len(names)):
-                r = _rank_correlation(out.select(F.col(names[i]).alias("y"), F.col(names[j]).alias("f"),
-                                                 F.lit(1.0).alias("w"))).first().r
-                corr[i, j] = corr[j, i] = r
-        return corr
+        out = _ranked(out, names)
     s = moments(out, names).scatter()
     d = np.sqrt(np.clip(np.diag(s), 0.0, None))
     with np.errstate(all="ignore"):

@@ -9,25 +9,26 @@ from itertools import product
 
 import numpy as np
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import Bucketizer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabwright.functions.draws import uniform
+from tabwright.operators import grove
 from tabwright.operators.quality import report
 from tabwright.operators.scaling import fit_minmax
 from tabwright.operators.worth import average_rank
 from tabwright.session import stage
 
-# Fixed search grids. The fraction of rows needed to split a node has no MLlib counterpart, and
-# MLlib wants leaf fractions below one half.
+# Fixed search grids: 72, 900, 27 and 6 points (a repeated fit of a bagging model is the same fit).
 GRIDS: dict[str, dict[str, list]] = {
-    "forest": {"numTrees": [10, 30, 50], "minInstancesPerNode": [1, 2, 4], "maxDepth": [5, 10, 20, 30]},
+    "forest": {"numTrees": [10, 30, 50], "minInstancesPerNode": [1, 2, 4], "minRowsToSplit": [2, 5],
+               "maxDepth": [5, 10, 20, 30]},
     "boosting": {"stepSize": [0.05, 0.1, 0.2], "maxIter": [10, 30, 50],
-                 "minWeightFractionPerNode": [0.1, 0.2, 0.3, 0.4], "maxDepth": [3, 5],
-                 "featureSubsetStrategy": ["log2", "sqrt"]},
+                 "minFractionToSplit": [0.1, 0.2, 0.3, 0.4, 0.5], "minWeightFractionPerNode": [0.1, 0.2, 0.3, 0.4, 0.5],
+                 "maxDepth": [3, 5], "featureSubsetStrategy": ["log2", "sqrt"]},
     "adaboost": {"n_estimators": [10, 30, 50], "learning_rate": [0.05, 0.1, 0.2],
                  "loss": ["linear", "square", "exponential"]},
     "bagging": {"numTrees": [10, 30, 50], "bootstrap": [True, False]},
@@ -99,54 +100,15 @@ def fit_model(name: str, df: DataFrame, features: list[str], target: str, seed:
 # --- extra trees ------------------------------------------------------------------------------------
 
 
-@dataclass(frozen=True)
-class ExtraTrees:
-    """Trees grown on randomly cut features; the prediction is their mean."""
-
-    features: tuple[str, ...]
-    members: tuple          # (cuts per feature, model)
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        out, names = df, []
-        for i, (cuts, model) in enumerate(self.members):
-            name = f"_e{i}"
-            out = model.transform(assembled(_cut(out, cuts), [f"_b_{c}" for c in self.features])).withColumn(
-                name, F.col("prediction")).drop("prediction", "_v", *[f"_b_{c}" for c in self.features])
-            names.append(name)
-        mean = reduce(lambda a, b: a + b, [F.col(n) for n in names]) / len(names)
-        return out.withColumn("prediction", F.when(complete(self.features), mean)).drop(*names)
-
-    @property
-    def importances(self) -> list[float]:
-        return [float(x) for x in np.mean([m.featureImportances.toArray() for _, m in self.members], axis=0)]
-
-
-def _cut(df: DataFrame, cuts: dict[str, list[float]]) -> DataFrame:
-    """Ordinal bins between the cuts (a binary search inside the JVM)."""
-    ends = [-math.inf, math.inf]
-    return Bucketizer(splitsArray=[[ends[0], *at, ends[1]] for at in cuts.values()], handleInvalid="keep",
-                      inputCols=list(cuts), outputCols=[f"_b_{c}" for c in cuts]).transform(df)
-
-
-def _random_cuts(rng, low: float, high: float, levels: int) -> list[float]:
-    """Cut a range at random, then both parts, and so on: the cuts a random tree would meet."""
-    if levels == 0 or not low < high:
-        return []
-    at = float(rng.uniform(low, high))
-    return [*_random_cuts(rng, low, at, levels - 1), at, *_random_cuts(rng, at, high, levels - 1)]
-
-
 def fit_extra_trees(df: DataFrame, features: list[str], target: str, seed: int = 0, n_trees: int = 10,
-                    levels: int = 6, **params) -> ExtraTrees:
-    rows = stage(_trainable(df, features, target), "extra")
-    ranges = fit_minmax(rows, features).ranges
-    rng = np.random.default_rng(seed)
-    members = []
-    for i in range(n_trees):
-        cuts = {c: sorted(set(_random_cuts(rng, *ranges[c], levels))) for c in features}
-        ready = assembled(_cut(rows, cuts), [f"_b_{c}" for c in features])
-        members.append((cuts, estimator("tree", target, seed + i, **params).fit(ready)))
-    return ExtraTrees(tuple(features), tuple(members))
+                    maxDepth: int = 10, minInstancesPerNode: int = 1) -> grove.GrownTrees:
+    """All trees grow together; each node of each tree draws its cuts inside its own ranges."""
+    rows = stage(_trainable(df, features, target).select(
+        F.lit(0).cast("long").alias("key"), F.lit(0).alias("fold"), F.col(target).alias("y"), *features), "extra")
+    mean = rows.agg(F.avg("y")).first()[0] or 0.0
+    plans = [grove.Plan(i, -1, seed * 1009 + i, False, float(minInstancesPerNode), depth=maxDepth) for i in range(n_trees)]
+    tops = grove.grow_random(rows, plans, len(features), mean)
+    return grove.GrownTrees(tuple(features), None, mean, (1 / n_trees,) * n_trees, tuple(tops[p.tree] for p in plans))
 
 
 # --- AdaBoost.R2 ------------------------------------------------------------------------------------
@@ -226,10 +188,48 @@ def hashed_folds(df: DataFrame, key: str, folds: int, seed: int) -> DataFrame:
     return df.withColumn("_fold", F.least(F.floor(uniform(key, seed + 101) * folds), F.lit(folds - 1)).cast("int"))
 
 
+def grid_errors(name: str, grid: dict[str, list], df: DataFrame, features: list[str], target: str, key: str, fold: str,
+                folds: int, seed: int = 0) -> DataFrame | None:
+    """Error of every grid point on every fold of a column with folds, all trees of the grid grown together (see ``grove``).
+
+    None for models and parameters that are not grown that way.
+    """
+    node = {"maxDepth": [10], "minInstancesPerNode": [1], "minRowsToSplit": [2]}
+    own = {"forest": {"numTrees": [10], **node}, "bagging": {"numTrees": [10], "bootstrap": [True], **node}, "tree": node,
+           "boosting": {"maxIter": [30], "stepSize": [0.1], "maxDepth": [3], "minWeightFractionPerNode": [0.0],
+                        "minFractionToSplit": [0.0], "featureSubsetStrategy": ["all"]}}.get(name)
+    if own is None or set(grid) - set(own):
+        return None
+    own |= grid
+    if name == "boosting":
+        return grove.boosting_errors(df, features, target, key, fold, folds, own["maxIter"], own["stepSize"], own["maxDepth"],
+                                     own["minWeightFractionPerNode"], own["minFractionToSplit"],
+                                     own["featureSubsetStrategy"], seed)
+    bags = {"forest": [True], "tree": [False]}.get(name) or own["bootstrap"]
+    return grove.forest_errors(df, features, target, key, fold, folds, own.get("numTrees", [1]), own["maxDepth"],
+                               own["minInstancesPerNode"], bags, own["minRowsToSplit"], seed)
+
+
+def _fit_best(name: str, best: dict, df: DataFrame, features: list[str], target: str, key: str, seed: int):
+    """The best point on all rows: by MLlib, or by ``grove`` where MLlib has no parameter for what binds a node."""
+    split = best.pop("minRowsToSplit", 2)
+    if split > 2 * best.get("minInstancesPerNode", 1):
+        return grove.fit_forest(df, features, target, key, seed, minRowsToSplit=split, **best)
+    split, share = best.pop("minFractionToSplit", 0.0), best.get("minWeightFractionPerNode", 0.0)
+    if split > 2 * share or share >= 0.5:
+        return grove.fit_boosting(df, features, target, key, seed, minFractionToSplit=split, **best)
+    return fit_model(name, df, features, target, seed, **best)
+
+
 def tune(name: str, grid: dict[str, list], df: DataFrame, features: list[str], target: str, key: str,
          folds: int = 5, seed: int = 0, parallelism: int = 4):
     """Exhaustive search for the lowest mean absolute error over keyed folds, refitted on all rows."""
-    rows = hashed_folds(df.na.drop(subset=[*features, target]), key, folds, seed)
+    rows = stage(hashed_folds(df.na.drop(subset=[*features, target]).select(
+        *dict.fromkeys([key, *features, target])), key, folds, seed), "folded")
+    errors = grid_errors(name, grid, rows, features, target, key, "_fold", folds, seed)
+    if errors is not None:
+        best = grove.mean_errors(errors).first().asDict()
+        return _fit_best(name, {k: best[k] for k in grid}, rows, features, target, key, seed)
     if name in ("adaboost", "extra_trees"):
         best, best_error = None, math.inf
         for values in product(*grid.values()):
@@ -271,7 +271,14 @@ def cross_val_rows(name: str, df: DataFrame, features: list[str], target: str, f
 
 def cross_val_score(names: list[str], df: DataFrame, features: list[str], target: str, key: str, folds: int,
                     scoring: str = "mse", seed: int = 0) -> DataFrame:
+    """(model, fold, score): models of one growth where they have one (``grid_errors``), the others fold by fold."""
     rows = stage(hashed_folds(df.na.drop(subset=[*features, target]).select(
         *dict.fromkeys([key, *features, target])), key, folds, seed), "cv")
-    return report(df.sparkSession, [r for n in names for r in cross_val_rows(
-        n, rows, features, target, "_fold", folds, scoring, seed)], "model string, fold int, score double")
+    out = report(df.sparkSession, [], "model string, fold int, score double")
+    for name in names:
+        errors = grid_errors(name, {}, rows, features, target, key, "_fold", folds, seed) if scoring in ("mse", "mae") else None
+        out = out.unionByName(errors.select(F.lit(name).alias("model"), "fold", (-F.col(scoring)).alias("score"))
+                              if errors is not None else
+                              report(df.sparkSession, cross_val_rows(name, rows, features, target, "_fold", folds, scoring, seed),
+                                     "model string, fold int, score double"))
+    return out

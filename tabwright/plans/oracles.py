@@ -481,7 +481,8 @@ def _spear(i):
  FROM (SELECT signal, {PROGRAM_SQL[i]} AS f FROM obs))"""
 
 
-SQL["score_spearman"] = with_(OBS) + union(_spear(i) for i in (0, 5, 7))
+SQL["score_spearman"] = with_(OBS) + union(
+    f"SELECT {i} AS program_id, 0.0E0 AS raw_fitness" if i in _FLAT else _spear(i) for i in _ALL)
 
 
 def _ll(i):
@@ -489,7 +490,7 @@ def _ll(i):
     return f"avg(-(gender * ln(greatest({p}, 1E-15)) + (1 - gender) * ln(greatest(1 - {p}, 1E-15))))"
 
 
-SQL["score_logloss"] = with_(OBS) + _scores([(i, _ll(i)) for i in (0, 2, 5, 6, 7, 8)], 7)
+SQL["score_logloss"] = with_(OBS) + _scores([(i, _ll(i)) for i in _ALL], 7)
 SQL["score_val"] = with_(OBS) + union(
     f"""SELECT {i} AS program_id, round(avg(abs({_err(i)})) FILTER (NOT {u('k', 3)} < 0.2), 6) AS raw_fitness,
  round(avg(abs({_err(i)})) FILTER ({u('k', 3)} < 0.2), 6) AS val_fitness FROM obs""" for i in _ALL)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tabwright.functions.draws import uniform
 from tabwright.functions.protected import BUILT_IN
-from tabwright.operators import (breeding, columns, decompose, expressions, gram, impute, linear,
+from tabwright.operators import (breeding, columns, decompose, expressions, gram, grove, impute, linear,
                                  model_impute, neighbours, ordering, outliers, population, quality,
                                  scaling, scoring, significance, splits, symbolic, synthetic, trees, worth)
 from tabwright.plans import study
@@ -707,15 +707,13 @@ def score_pearson_weighted(spark, sf_dir):
 @query
 def score_spearman(spark, sf_dir):
     df = _obs(spark, sf_dir, *NUMERIC, "signal")
-    pick = [p for p in _programs() if p[0] in (0, 5, 7)]
-    return rounded(scoring.score(df, pick, OBS_FEATURES, "signal", "spearman"), 8)
+    return rounded(scoring.score(df, _programs(), OBS_FEATURES, "signal", "spearman"), 8)
 
 
 @query
 def score_logloss(spark, sf_dir):
     df = _obs(spark, sf_dir, *NUMERIC, "gender")
-    pick = [p for p in _programs() if p[0] in (0, 2, 5, 6, 7, 8)]
-    return rounded(scoring.score(df, pick, OBS_FEATURES, "gender", "log loss",
+    return rounded(scoring.score(df, _programs(), OBS_FEATURES, "gender", "log loss",
                                  transform=expressions.sigmoid), 7)
 
 
@@ -999,28 +997,39 @@ def importance_vote(spark, sf_dir):
 
 @query
 def tree_cv(spark, sf_dir):
-    return trees.cross_val_score(["tree", "forest"], _modelling(spark, sf_dir), MODEL_COLS, "signal", "k", 3)
+    return trees.cross_val_score(["tree", "forest"], _modelling(spark, sf_dir), MODEL_COLS, "signal", "k", 20)
 
 
-def _tuned_error(spark, sf_dir, name, grid):
-    train, test = splits.train_test_split(_modelling(spark, sf_dir), "k", 7)
-    model = trees.tune(name, grid, train, MODEL_COLS, "signal", "k", 3, 1)
-    return linear.error_metrics(model.transform(test), "signal", "prediction")
+def _grid(spark, sf_dir, name):
+    """The whole grid over five folds of the training rows: the mean errors of every point."""
+    train = splits.train_test_split(_modelling(spark, sf_dir), "k", 7)[0]
+    rows = stage(trees.hashed_folds(train, "k", 5, 1), "folded")
+    return grove.mean_errors(trees.grid_errors(name, trees.GRIDS[name], rows, MODEL_COLS, "signal", "k", "_fold", 5, 1))
 
 
 @query
 def forest_grid(spark, sf_dir):
-    return _tuned_error(spark, sf_dir, "forest", {"numTrees": [5, 10], "maxDepth": [5]})
+    """72 forests."""
+    return _grid(spark, sf_dir, "forest")
 
 
 @query
 def gbt_cv(spark, sf_dir):
-    return _tuned_error(spark, sf_dir, "boosting", {"maxIter": [5], "stepSize": [0.1, 0.2]})
+    """900 boosted models."""
+    return _grid(spark, sf_dir, "boosting")
 
 
 @query
 def bagging(spark, sf_dir):
-    return _tuned_error(spark, sf_dir, "bagging", {"numTrees": [5], "bootstrap": [True, False]})
+    return _grid(spark, sf_dir, "bagging")
+
+
+@query
+def bagging_tuned(spark, sf_dir):
+    """The best bagging model of the grid, refitted on the training rows: its errors on the others."""
+    train, test = splits.train_test_split(_modelling(spark, sf_dir), "k", 7)
+    model = trees.tune("bagging", trees.GRIDS["bagging"], train, MODEL_COLS, "signal", "k", 5, 1)
+    return linear.error_metrics(model.transform(test), "signal", "prediction")
 
 
 @query
