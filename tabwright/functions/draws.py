@@ -7,21 +7,20 @@ import hashlib
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed values of the congruential draw.
-MODULUS = 2147483648
-MULTIPLIER = 1103515245
-MULTIPLIER_STEP = 81006
-INCREMENT = 12345
+#: Hexadecimal digits of the digest that make a draw: 52 bits, all that a double keeps of a share.
+DIGITS = 13
 
 
 def uniform(key, salt) -> Column:
-    """Uniform in [0, 1) from an integer key >= 0; ``salt`` (1..20000) is an int or a Column."""
+    """Uniform in [0, 1) from an integer key of any size and sign; ``salt`` is an int or a Column.
+
+    A counter-based generator: the digest of "key:salt", which SQL repeats. Neighbouring keys, keys that differ by any power of
+    two and draws of different salts have nothing to do with each other. A NULL key gives NULL.
+    """
     key = F.col(key) if isinstance(key, str) else key
-    salt = salt.cast("bigint") if isinstance(salt, Column) else F.lit(int(salt)).cast("bigint")
-    step = (key.cast("bigint") % F.lit(MODULUS).cast("bigint")) * (
-        F.lit(MULTIPLIER).cast("bigint") + F.lit(MULTIPLIER_STEP).cast("bigint") * salt)
-    return ((step + F.lit(INCREMENT).cast("bigint") * salt) % F.lit(MODULUS).cast("bigint")).cast(
-        "double") / F.lit(float(MODULUS))
+    salt = salt if isinstance(salt, Column) else F.lit(int(salt))
+    digest = F.md5(F.concat(key.cast("bigint").cast("string"), F.lit(":"), salt.cast("bigint").cast("string")))
+    return F.conv(F.substring(digest, 1, DIGITS), 16, 10).cast("bigint").cast("double") / F.lit(float(1 << 4 * DIGITS))
 
 
 #: Fixed prime of ``cubic``: products of two residues fit in 64 bits.

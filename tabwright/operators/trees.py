@@ -194,6 +194,8 @@ def grid_errors(name: str, grid: dict[str, list], df: DataFrame, features: list[
 
     None for models and parameters that are not grown that way.
     """
+    if name == "extra_trees" and not grid:
+        return grove.random_errors(df, features, target, fold, folds, seed=seed)
     node = {"maxDepth": [10], "minInstancesPerNode": [1], "minRowsToSplit": [2]}
     own = {"forest": {"numTrees": [10], **node}, "bagging": {"numTrees": [10], "bootstrap": [True], **node}, "tree": node,
            "boosting": {"maxIter": [30], "stepSize": [0.1], "maxDepth": [3], "minWeightFractionPerNode": [0.0],

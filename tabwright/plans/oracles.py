@@ -14,8 +14,8 @@ NUMERIC = ["f_tax", "f_size", "f_retail", "f_order", "f_spiky", "f_size2"]
 
 
 def u(key: str, salt) -> str:
-    return (f"(((({key}) % 2147483648) * (CAST(1103515245 AS BIGINT) + 81006 * {salt}) + 12345 * {salt})"
-            " % 2147483648) / 2147483648.0E0")
+    """The draw of a key: the first 52 bits of the md5 digest of 'key:salt'."""
+    return f"(CAST('0x' || substr(md5(CAST(({key}) AS VARCHAR) || ':{salt}'), 1, 13) AS BIGINT) / 4503599627370496.0E0)"
 
 
 OBS = """obs AS (

@@ -1044,8 +1044,7 @@ def impute_models(spark, sf_dir):
     df = _obs(spark, sf_dir, *OBS_KEY, "k", "f_qty", "f_disc", "f_tax", "f_size", "f_spiky")
     train, test = splits.train_test_split(df, "k", 7)
     filled, _, _ = model_impute.impute_with_models(
-        train, test, ["f_qty", "f_disc", "f_tax", "f_size", "f_spiky"], OBS_KEY, 2,
-        ("bayesian_ridge", "tree"), 1)
+        train, test, ["f_qty", "f_disc", "f_tax", "f_size", "f_spiky"], OBS_KEY, 50, seed=1)
     return filled
 
 

@@ -224,3 +224,39 @@ def test_impute_with_models_fills_everything(spark):
     np.testing.assert_allclose(both["c"], truth, atol=1e-3)
     table = model_impute.score_report(scores).toPandas()
     assert set(table.model) == {"bayesian_ridge", "tree", "knn"} and (table.error <= 0).all()
+
+
+def test_nearest_outside_the_own_fold(spark):
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"id": np.arange(700), "a": rng.integers(0, 12, 700) / 3.0, "b": rng.normal(size=700), "y": rng.normal(size=700)})
+    pdf.loc[pdf.id % 5 == 0, ["a", "b"]] = [1.0, 0.5]                     # one point that holds a fifth of the rows
+    pdf["fold"] = np.where(pdf.id < 500, 0, 1 + pdf.id % 6)               # a fold that holds most of them
+    df = spark.createDataFrame(pdf).repartition(5)
+    got = neighbours.knn_mean(df, df, ["a", "b"], "y", ["id"], 5, fold="fold").toPandas().sort_values("id")["prediction"]
+    want = np.full(len(pdf), np.nan)
+    for f in pdf.fold.unique():
+        own = (pdf.fold == f).to_numpy()
+        want[own] = _brute_knn(pdf[~own], pdf[own], ["a", "b"], "y", ["id"], 5)
+    np.testing.assert_allclose(got, want, rtol=1e-9)
+
+
+def test_neighbouring_keys_draw_independently(spark):
+    rows = spark.range(20_000).select("id", uniform("id", 3).alias("a"), uniform("id", 4).alias("b"),
+                                      uniform(F.col("id") + F.lit(1 << 31), 3).alias("c"), uniform(-F.col("id") - 1, 3).alias("d"))
+    pdf = rows.toPandas().sort_values("id")
+    for x, y in ((pdf.a[1:], pdf.a[:-1]), (pdf.a, pdf.b), (pdf.a, pdf.c), (pdf.a, pdf.d), (pdf.a[16:], pdf.a[:-16])):
+        assert abs(np.corrcoef(x, y)[0, 1]) < 0.03
+    assert ((pdf[["a", "b", "c", "d"]] >= 0) & (pdf[["a", "b", "c", "d"]] < 1)).all().all() and abs(pdf.a.mean() - 0.5) < 0.01
+    counts = np.bincount((pdf.a * 100).astype(int), minlength=100)
+    assert ((counts - 200) ** 2 / 200).sum() < 160
+
+
+def test_random_forests_of_all_folds(obs):
+    from tabwright.operators import grove, trees
+    rows = trees.hashed_folds(obs.select("k", "f_size", "f_spiky", "signal"), "k", 3, 1).cache()
+    errors = grove.random_errors(rows, ["f_size", "f_spiky"], "signal", "_fold", 3, 4, 5, 2).orderBy("fold").collect()
+    for r in errors:
+        model = trees.fit_extra_trees(rows.filter(F.col("_fold") != r["fold"]), ["f_size", "f_spiky"], "signal", 2, 4, 5)
+        got = model.transform(rows.filter(F.col("_fold") == r["fold"])).agg(
+            F.avg(F.abs(F.col("signal") - F.col("prediction")))).first()[0]
+        assert r["mae"] == pytest.approx(got, rel=1e-9)
