@@ -613,3 +613,12 @@ _SC = "sc AS (SELECT signal, " + ", ".join(f"{mm(c)} AS {c}" for c in OBS_FEATUR
 SQL["study_slice"] = with_(OBS, _LAB, *_F, _FL, _WB, _WI, _ranges(OBS_FEATURES, "wi"), _SC,
                            _ols(OBS_FEATURES).replace("FROM obs", "FROM sc")) + (
     f"SELECT feature, round(r2, 8) AS r2, round(slope, 2) AS slope, {_rank('r2')} AS rank FROM ols")
+
+# --- reads, exports, user functions and metrics ------------------------------------------------------------------
+SQL["table_read"] = """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_tax, l_quantity FROM lineitem WHERE l_quantity > 25"""
+SQL["export_roundtrip"] = with_(OBS) + f"SELECT {KEY}, f_qty, gender FROM obs WHERE target IS NOT NULL"
+SQL["score_wide"] = with_(SCORES) + """SELECT 'TTFF' AS combination, fold AS seed,
+ round(max(error) FILTER (method = 'click'), 8) AS click, round(max(error) FILTER (method = 'view'), 8) AS view
+ FROM scores GROUP BY fold"""
+SQL["user_function"] = with_(OBS) + f"SELECT {KEY}, round(1 / (1 + abs(f_size - f_size2)) + f_tax * 2, 8) AS p FROM obs"
+SQL["user_metric"] = with_(OBS) + _scores([(i, f"max(abs({_err(i)}))") for i in _ALL], 6)

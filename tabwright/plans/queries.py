@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabwright.functions.draws import uniform
-from tabwright.functions.protected import BUILT_IN
+from tabwright.functions.protected import BUILT_IN, make_function
 from tabwright.operators import (breeding, columns, decompose, expressions, gram, grove, impute, linear,
                                  model_impute, neighbours, ordering, outliers, population, quality,
                                  scaling, scoring, significance, splits, symbolic, synthetic, trees, worth)
@@ -122,6 +122,30 @@ def run_log_roundtrip(spark, sf_dir):
     return rounded(tables.read_run_log(spark, path), 8)
 
 
+@query
+def table_read(spark, sf_dir):
+    """A keyed read; only the columns used are read."""
+    df = tables.read_table(spark, f"{sf_dir.rstrip('/')}/lineitem.parquet", ["l_orderkey", "l_linenumber"])
+    return df.select(*SHORT, "l_tax", "l_quantity").filter(F.col("l_quantity") > 25)
+
+
+@query
+def export_roundtrip(spark, sf_dir):
+    """Labelled rows exported as CSV, a folder for each value of a column, and read back with their key."""
+    path = new_path(spark, "export")
+    tables.export(_labelled(spark, sf_dir, *OBS_KEY, "gender", "f_qty"), path, "csv", partition_by=["gender"])
+    schema = "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_extendedprice double, f_qty double, gender int"
+    return tables.read_table(spark, path, OBS_KEY, "csv", schema, header="true")
+
+
+@query
+def score_wide(spark, sf_dir):
+    """One row per combination and seed, one column per model."""
+    s = fixtures.scores(spark, sf_dir).select(
+        F.lit("TTFF").alias("combination"), F.col("fold").alias("seed"), F.col("method").alias("model"), F.col("error").alias("mae"))
+    return rounded(study.score_table(s, ["click", "view"]), 8)
+
+
 # --- profiling -----------------------------------------------------------------------------------------
 
 
@@ -673,6 +697,32 @@ def apply_program(spark, sf_dir):
     return rounded(expressions.apply_programs(df, named, OBS_FEATURES).drop(*NUMERIC), 7, list(named))
 
 
+@query
+def user_function(spark, sf_dir):
+    """Programs with a function that the user brings."""
+    near = make_function(spark, lambda a, b: 1.0 / (1.0 + F.abs(a - b)), "near", 2)
+    nodes = expressions.prefix(("add", ("near", "f_size", "f_size2"), ("mul", "f_tax", 2.0)), OBS_FEATURES)
+    df = _obs(spark, sf_dir, *OBS_KEY, *NUMERIC)
+    return rounded(expressions.apply_programs(df, {"p": nodes}, OBS_FEATURES, {**BUILT_IN, "near": near}).drop(*NUMERIC), 8, ["p"])
+
+
+@query
+def user_metric(spark, sf_dir):
+    """Programs scored by a metric that the user brings: the greatest error."""
+    worst = scoring.make_fitness(spark, lambda y, f, w: F.max(F.abs(y - f) * F.signum(w)), False, "worst")
+    return rounded(_score(spark, sf_dir, worst), 6)
+
+
+@query
+def decorrelated_programs(spark, sf_dir):
+    """The study programs, fittest first, without the less fit of the most alike pair until five are left."""
+    df = _obs(spark, sf_dir, *NUMERIC, "signal")
+    fit = {r["program_id"]: r["raw_fitness"] for r in scoring.score(df, _programs(), OBS_FEATURES, "signal").collect()}
+    ranked = sorted(_programs(), key=lambda p: (fit[p[0]], p[0]))
+    left = population.decorrelated(scoring.program_correlations(df, ranked, OBS_FEATURES, ranks=True), 5)
+    return quality.report(spark, [(i, ranked[j][0]) for i, j in enumerate(left)], "place int, program_id int")
+
+
 def _score(spark, sf_dir, metric, digits=6, **kw):
     df = _obs(spark, sf_dir, "k", *NUMERIC, "signal")
     return rounded(scoring.score(df, _programs(), OBS_FEATURES, "signal", metric, **kw), digits)
@@ -1048,6 +1098,15 @@ def impute_models(spark, sf_dir):
     return filled
 
 
+@query
+def impute_model_scores(spark, sf_dir):
+    """The mean score of every candidate over 50 folds, by column."""
+    df = _obs(spark, sf_dir, *OBS_KEY, "k", "f_qty", "f_disc", "f_tax", "f_size", "f_spiky")
+    train, test = splits.train_test_split(df, "k", 7)
+    return rounded(model_impute.score_report(model_impute.impute_with_models(
+        train, test, ["f_qty", "f_disc", "f_tax", "f_size", "f_spiky"], OBS_KEY, 50, seed=1)[2]), 6)
+
+
 @query
 def generalisation(spark, sf_dir):
     df = _obs(spark, sf_dir, *OBS_KEY, "k", "f_qty", "f_disc", "f_tax", "f_size", "f_spiky", *OBS_EXEMPT, "target")
@@ -1094,6 +1153,16 @@ def symbolic_regress(spark, sf_dir):
     return linear.error_metrics(est.transform(df), "signal", "prediction")
 
 
+@query
+def symbolic_resumed(spark, sf_dir):
+    """A fit that goes on from the generations another one stored: its run details."""
+    df = _obs(spark, sf_dir, *OBS_KEY, "k", *SYMBOLIC, "signal")
+    path, settings = new_path(spark, "history"), dict(population_size=60, seed=3)
+    symbolic.SymbolicRegressor(generations=2, history_path=path, **settings).fit(df, SYMBOLIC, "signal", "k", OBS_KEY)
+    est = symbolic.SymbolicRegressor(generations=4, **settings).fit(df, SYMBOLIC, "signal", "k", OBS_KEY, resume=path)
+    return rounded(est.run_details(spark).drop("generation_time"), 6)
+
+
 @query
 def symbolic_classify(spark, sf_dir):
     df = _obs(spark, sf_dir, *OBS_KEY, "k", *SYMBOLIC, "signal").withColumn("big", (F.col("signal") > 60).cast("int"))

@@ -27,7 +27,7 @@ def test_matches_sql(spark, sf_dir, con, name):
 # the slow ones are covered by their own unit tests
 ROWS_ONLY = sorted(set(QUERIES) - set(SQL) - {
     "importance_vote", "outlier_benchmark", "synthetic_benchmark", "generalisation", "extra_trees_importance",
-    "gbt_cv", "bagging", "forest_grid", "tree_cv", "symbolic_islands", "impute_models"})
+    "gbt_cv", "bagging", "bagging_tuned", "forest_grid", "tree_cv", "symbolic_islands", "impute_models", "impute_model_scores"})
 
 
 @pytest.mark.parametrize("name", ROWS_ONLY)
