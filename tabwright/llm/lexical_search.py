@@ -33,12 +33,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabwright.llm.common import text_of
-from tabwright.session import stage
+from tabwright.session import new_path, stage
 
 #: Characters of queries searched together, and documents and matrix cells of a shard.
-QUERY_CHARS, SHARD_DOCS, SHARD_CELLS = 100_000, 8192, 1 << 23
+QUERY_CHARS, SHARD_DOCS, SHARD_CELLS = 100_000, 8192, 1 << 22
 #: Summary entries of a list (a list with more coordinates has one block), and dimensions of the projection.
 LIST_ENTRIES, DIMENSIONS = 8192, 16
+#: Bytes of shards sent to a worker at a time.
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20)
 _BINARY = ["doc_ids", "no_id", "start", "term", "value", "lists", "list_block", "block_doc", "docs", "summary"]
 INDEX = "shard long, " + ", ".join(f"{c} binary" for c in _BINARY)
 VECTORS = "doc_id long, n long, terms array<int>, tfs array<long>"
@@ -135,13 +137,15 @@ def _shard(number: int, ids: list, n: np.ndarray, sizes: np.ndarray, terms: np.n
     value = saturations(tfs, np.repeat(n, sizes), block.n_docs, block.n_terms).astype(np.int32)
     cells = np.zeros((n_docs, width), dtype=np.int32)
     cells[rows, terms] = value
-    weighted = np.zeros((n_docs, width), dtype=np.float32)
-    weighted[rows, terms] = value * (block.weights[terms] / 1e9)
-    sketch = weighted @ axes
+    sketch = np.zeros((n_docs, axes.shape[1]), dtype=np.float32)
+    there = np.flatnonzero(sizes)
+    if len(there):
+        moved = (value * (block.weights[terms] / 1e9)).astype(np.float32)[:, None] * axes[terms]
+        sketch[there] = np.add.reduceat(moved, start[there], axis=0)
     sketch /= np.maximum(np.linalg.norm(sketch, axis=1, keepdims=True), 1e-12)
     by_term = np.argsort(terms, kind="stable")
     lists, first = np.unique(terms[by_term], return_index=True)
-    ends = np.append(first[1:], len(terms))
+    ends = np.append(first, len(terms))[1:]
     list_block, block_doc, docs, summary = [0], [], [], []
     at = 0
     for t, a, b in zip(lists.tolist(), first.tolist(), ends.tolist(), strict=True):
@@ -265,6 +269,13 @@ class _Reader:
         return int(seen.sum())
 
 
+def stored(index: DataFrame) -> DataFrame:
+    """The index, written with a row group a shard, so that a reader holds no more than one of them."""
+    spark, path = index.sparkSession, new_path(index.sparkSession, "index")
+    index.write.option("parquet.block.row.count.limit", 1).parquet(path)
+    return spark.read.schema(INDEX).parquet(path)
+
+
 def search_index(index: DataFrame, block: QueryBlock, k: int) -> DataFrame:
     """(query, doc_id, score): at least the k best of each query, at most k from each task."""
     width = len(block.vocabulary)
@@ -306,12 +317,17 @@ def search(spark: SparkSession, docs: DataFrame, queries: DataFrame, k: int = 10
     item_type = queries.schema["item_id"].dataType.simpleString()
     out = spark.createDataFrame([], f"item_id {item_type}, rank int, doc_id long, score long")
     for block in query_blocks(queries):
-        index = stage(build_index(_counted(docs, block), block), "index")
+        index = stored(build_index(_counted(docs, block), block))
         found = search_index(index, block, k)
         order = Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
         ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
         # one row for each query of the block
         names = spark.createDataFrame(list(enumerate(block.items)), f"query int, item_id {item_type}")
         ranked = ranked.join(F.broadcast(names), "query").select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
-        out = out.unionByName(stage(ranked, "ranked"))
+        before = spark.conf.get(BATCH_KEY)
+        spark.conf.set(BATCH_KEY, BATCH_BYTES)
+        try:
+            out = out.unionByName(stage(ranked, "ranked"))
+        finally:
+            spark.conf.set(BATCH_KEY, before)
     return out

@@ -1,12 +1,15 @@
 """Collocations by dynamic itemset counting: lengths are interleaved in cyclic scans of shards.
 
-The documents are dealt into ``SHARDS`` shards, which are scanned one after the other, round and round. Words are counted from
-the start. A longer phrase becomes active in the scan after both its subphrases (without its last, without its first word)
-have reached ``minimum`` in the counts so far, and is counted for the next ``SHARDS`` scans, one full cycle; then it is complete.
-The scans end when nothing has been reached for a cycle. Counters are a Spark table keyed by language and phrase, written after
-each scan; complete ones below the minimum leave it.
+The documents are cut into blocks of numbered words once, dealt to ``SHARDS`` shards, which are scanned one after the other, round
+and round. Words are counted from the start. A longer phrase becomes active in the scan after both its subphrases (without its
+last, without its first word) have reached ``minimum`` in the counts so far, and is counted for the next ``SHARDS`` scans, one full
+cycle; then it is complete. The scans end when nothing has been reached for a cycle.
 
-A scan asks whether a subphrase was reached, and when, in a table of hashed slots (``gate``) whose size is bounded by
+Counts of a scan are written as they are (the log). Most phrases are rare, so only counts of some size (``floor``, chosen so that a
+phrase with ``minimum`` has one in some shard) are added up in the table of counters after each scan; the small counts of phrases
+that these could lift to the minimum are looked up in the log at the end of each cycle. All sums are exact.
+
+A scan asks whether a subphrase was reached, and when, in a table of hashed slots (``_gate``) whose size is bounded by
 ``MOST_SLOTS``. A slot shared by phrases that were reached at different times counts as ambiguous: what hangs on it is counted in
 every scan. Slots hit by accident do the same for phrases that are not active. Either way a shard adds to a counter at most
 once, so the gate decides how much is counted and never what the counts are.
@@ -18,8 +21,9 @@ read.
 
 from __future__ import annotations
 
-import math
+import json
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +33,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabwright.llm.common import text_of
-from tabwright.session import new_path, stage
+from tabwright.session import BROADCAST_ROWS, new_path, stage
 
 SHARDS, LONGEST = 3, 5
-#: Words counted together in a task, and the largest gate in slots (one byte each).
-FLUSH_WORDS, MOST_SLOTS = 3_000_000, 1 << 26
+#: Words of a block, and the largest gate in slots (one byte each).
+BLOCK_WORDS, MOST_SLOTS = 2_000_000, 1 << 26
 AMBIGUOUS = 255
 _MIX, _SPREAD = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _BREAK = b"\n"
@@ -43,7 +47,8 @@ for _c in range(65, 91):
 for _c in b".,;:!?\x0a\x0b\x0c\x0d":
     _LETTERS[_c] = 10
 _LETTERS[9] = 32
-COUNTERS = "lang string, phrase string, k int, since int, c long"
+BLOCKS = "shard int, words binary, langs binary, names string, x binary"
+COUNTERS = "lang string, phrase string, k int, c long"
 
 
 def split_words(text: str) -> list[bytes]:
@@ -78,94 +83,117 @@ class _Words(dict):
         return number
 
 
-def _unique(codes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One position, and the number, of each distinct code."""
-    _, first, count = np.unique(codes, return_index=True, return_counts=True)
-    return at[first], count
+def _blocks(shards: int, block_words: int):
+    """Documents to blocks: ``x`` numbers the words (0: a break), ``words`` and ``langs`` are by number, ``names`` the languages."""
+    from pyspark import TaskContext
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, parts, held, words, langs, seen, known = TaskContext.get().partitionId(), [], 0, [_BREAK], [0], [], {}
+
+        def close() -> pa.RecordBatch:
+            x = np.concatenate(parts)
+            return pa.RecordBatch.from_arrays([
+                pa.array([shard % shards], pa.int32()), pa.array([b"".join(w + _BREAK for w in words[1:])], pa.binary()),
+                pa.array([np.array(langs, dtype="<i4").tobytes()], pa.binary()), pa.array([json.dumps(seen)]),
+                pa.array([x[x >= 0].astype("<i4").tobytes()], pa.binary())], ["shard", "words", "langs", "names", "x"])
+
+        for rows in batches:
+            for lang, text in zip(rows.column(0).to_pylist(), rows.column(1), strict=True):
+                if lang not in known:
+                    known[lang] = _Words(words, langs, len(seen))
+                    seen.append(lang)
+                cut = split_words(text.as_py())
+                parts += [np.fromiter(map(known[lang].__getitem__, cut), dtype=np.int32, count=len(cut)),
+                          np.zeros(1, dtype=np.int32)]
+                held += len(cut)
+                if held >= block_words:
+                    yield close()
+                    shard, parts, held, words, langs, seen, known = shard + 1, [], 0, [_BREAK], [0], [], {}
+        if parts:
+            yield close()
+    return run
+
 
+def _distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes and their numbers."""
+    codes = np.sort(codes)
+    first = np.flatnonzero(np.diff(codes, prepend=-1))
+    return codes[first], np.diff(first, append=len(codes))
 
-def _count(x: np.ndarray, names: list[bytes], langs: np.ndarray, seeds: np.ndarray, scan: int, shards: int, longest: int,
-           gate: np.ndarray | None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(length, positions in ``x``, since, counts) of the phrases active in this scan; ``x`` holds word numbers, 0 at breaks."""
+
+def _count(x: np.ndarray, hashes: np.ndarray, seeds: np.ndarray, scan: int, shards: int, longest: int,
+           gate: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(word numbers of each phrase, counts) of the phrases active in this scan, one length after the other; ``hashes`` and
+    ``seeds`` (of the language) are by word number."""
+    n_words = len(hashes)
     if scan <= shards:
-        counted = np.bincount(x, minlength=len(names))
+        counted = np.bincount(x, minlength=n_words)
         counted[0] = 0
-        first = np.zeros(len(names), dtype=np.int64)
-        first[x] = np.arange(len(x))
         own = np.flatnonzero(counted)
-        yield 1, first[own], np.zeros(len(own), dtype=np.int32), counted[own]
+        yield own[:, None], counted[own]
     if gate is None:
         return
     bits = len(gate).bit_length() - 1
-    word = np.array([_word_hash(w) for w in names], dtype=np.uint64)
     with np.errstate(over="ignore"):
-        by_word = gate[_slot(_extend(seeds[langs], word), bits)]
+        word = _extend(seeds, hashes)
+        by_word = gate[_slot(word, bits)]
         by_word[0] = 0
         # per position: when the phrase of the present length that begins there was reached (0: not), its hash and its code
         reached = by_word[x]
         at = np.flatnonzero(reached)
-        hashes, codes = _extend(seeds[langs[x[at]]], word[x[at]]), x[at]
+        codes = x[at].astype(np.int64)
+        mixed = word[codes]
         for k in range(2, longest + 1):
             both = np.flatnonzero(np.diff(at) == 1)
             if not len(both):
                 return
             start = at[both]
-            one, two = reached[start].astype(np.int32), reached[start + 1].astype(np.int32)
+            one, two = reached[start].astype(np.int16), reached[start + 1].astype(np.int16)
             since = np.maximum(one, two)
-            hashes = _extend(hashes[both], word[x[start + k - 1]])
-            codes = codes[both] * np.int64(len(names)) + x[start + k - 1]
+            last = x[start + k - 1]
+            codes = codes[both] * np.int64(n_words) + last
             now = np.flatnonzero((since == AMBIGUOUS) | (since + shards >= scan))
-            places, counts = _unique(codes[now], now)
-            yield k, start[places], since[places], counts
+            if k == 2:
+                found, counts = _distinct(codes[now])
+                yield np.stack([found // n_words, found % n_words], axis=1), counts
+            elif len(now):
+                _, first, counts = np.unique(codes[now], return_index=True, return_counts=True)
+                yield x[start[now[first]][:, None] + np.arange(k)], counts
             if k == longest:
                 return
+            mixed = _extend(mixed[both], hashes[last])
+            own = gate[_slot(mixed, bits)]
             reached = np.zeros(len(x), dtype=np.uint8)
-            reached[start] = gate[_slot(hashes, bits)]
-            left = np.flatnonzero(reached[start])
-            at, hashes = start[left], hashes[left]
+            reached[start] = own
+            left = np.flatnonzero(own)
+            at, mixed = start[left], mixed[left]
             # numbers instead of codes, so that the next ones stay within 64 bits
             codes = np.unique(codes[left], return_inverse=True)[1].astype(np.int64)
 
 
-def _scanner(scan: int, shards: int, longest: int, gate, flush_words: int):
-    def flush(parts: list[np.ndarray], names: list[bytes], langs: list[int], seen: list[str]) -> Iterator[pa.RecordBatch]:
-        x = np.concatenate([*parts, np.zeros(1, dtype=np.int64)])
-        x = x[x >= 0]
-        lang_of = np.array(langs, dtype=np.int64)
-        seeds = np.array([_word_hash(s.encode()) for s in seen], dtype=np.uint64)
-        texts, lang_names = pa.array(names, pa.binary()).cast(pa.string()), pa.array(seen, pa.string())
-        table = None if gate is None else np.frombuffer(gate.value, dtype=np.uint8)
-
-        def batch(lang, phrase, k, since, counts):
-            return pa.RecordBatch.from_arrays([lang, phrase, pa.array(np.full(len(counts), k, dtype=np.int32)),
-                                               pa.array(since, pa.int32()), pa.array(counts.astype(np.int64))],
-                                              ["lang", "phrase", "k", "since", "c"])
-
-        if scan <= shards:
-            words = np.bincount(lang_of[x[x > 0]], minlength=len(seen))
-            yield batch(lang_names, pa.array([""] * len(seen)), 0, np.zeros(len(seen), dtype=np.int32), words)
-        for k, start, since, counts in _count(x, names, lang_of, seeds, scan, shards, longest, table):
-            for a in range(0, len(start), 200_000):
-                own = start[a:a + 200_000]
-                phrase = pc.binary_join_element_wise(*[texts.take(pa.array(x[own + i])) for i in range(k)], " ")
-                yield batch(lang_names.take(pa.array(lang_of[x[own]])), phrase, k, since[a:a + 200_000], counts[a:a + 200_000])
+def _scanner(scan: int, shards: int, longest: int, gate):
+    def batch(lang, phrase, k: int, counts) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([lang, phrase, pa.array(np.full(len(counts), k, dtype=np.int32)),
+                                           pa.array(counts.astype(np.int64))], ["lang", "phrase", "k", "c"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held, names, langs, seen, known = [], 0, [_BREAK], [0], [], {}
+        table = None if gate is None else np.frombuffer(gate.value, dtype=np.uint8)
         for rows in batches:
-            for lang, text in zip(rows.column(0).to_pylist(), rows.column(1), strict=True):
-                if lang not in known:
-                    known[lang] = _Words(names, langs, len(seen))
-                    seen.append(lang)
-                words = split_words(text.as_py())
-                parts += [np.fromiter(map(known[lang].__getitem__, words), dtype=np.int64, count=len(words)),
-                          np.zeros(1, dtype=np.int64)]
-                held += len(words)
-                if held >= flush_words:
-                    yield from flush(parts, names, langs, seen)
-                    parts, held, names, langs, seen, known = [], 0, [_BREAK], [0], [], {}
-        if parts:
-            yield from flush(parts, names, langs, seen)
+            for words, langs, names, x in zip(*(rows.column(j).to_pylist() for j in range(4)), strict=True):
+                words, seen = [_BREAK, *words.split(_BREAK)[:-1]], json.loads(names)
+                x, langs = np.frombuffer(x, dtype="<i4"), np.frombuffer(langs, dtype="<i4")
+                texts, names = pa.array(words, pa.binary()).cast(pa.string()), pa.array(seen, pa.string())
+                if scan <= shards:
+                    whole = np.bincount(langs[x[x > 0]], minlength=len(seen))
+                    yield batch(names, pa.array([""] * len(seen)), 0, whole)
+                hashes = np.array([_word_hash(w) for w in words], dtype=np.uint64)
+                seeds = np.array([_word_hash(n.encode()) for n in seen], dtype=np.uint64)[langs]
+                for phrase, counts in _count(x, hashes, seeds, scan, shards, longest, table):
+                    for a in range(0, len(counts), 200_000):
+                        own = phrase[a:a + 200_000]
+                        parts = [texts.take(pa.array(own[:, i])) for i in range(own.shape[1])]
+                        yield batch(names.take(pa.array(langs[own[:, 0]])), pc.binary_join_element_wise(*parts, " "),
+                                    own.shape[1], counts[a:a + 200_000])
     return run
 
 
@@ -196,42 +224,90 @@ def _gate(reached: DataFrame, how_many: int):
     return reached.sparkSession.sparkContext.broadcast(table.tobytes())
 
 
+class _Counts:
+    """The log of all scans, and the counters: (lang, phrase, k, c, mask of the shards counted, reach)."""
+
+    def __init__(self, spark, minimum: int, shards: int):
+        self.spark, self.minimum, self.shards = spark, minimum, shards
+        # a phrase with ``minimum`` has a count of twice the floor in some shard
+        self.floor = max(1, minimum // (2 * shards))
+        self.log, self.counters = [], None
+
+    def add(self, fresh: DataFrame, shard: int) -> None:
+        """Add the counts of one shard; one that has been added already does not count again."""
+        fresh = stage(fresh.groupBy("lang", "phrase").agg(F.max("k").alias("k"), F.sum("c").alias("c")), "counts")
+        self.log.append(fresh.filter(f"c < {self.floor} and k > 0").select("lang", "phrase", F.lit(shard).alias("shard"), "c"))
+        rows = fresh.filter(f"c >= {self.floor} or k = 0").select(
+            "lang", "phrase", "k", F.col("c").alias("new"), F.lit(0).cast("long").alias("c"), F.lit(0).alias("mask"),
+            F.lit(None).cast("int").alias("reach"))
+        if self.counters is not None:
+            rows = rows.unionByName(self.counters.withColumn("new", F.lit(0).cast("long")))
+        rows = rows.groupBy("lang", "phrase").agg(F.max("k").alias("k"), F.sum("new").alias("new"), F.max("c").alias("c"),
+                                                  F.max("mask").alias("mask"), F.max("reach").alias("reach"))
+        bit = 1 << shard
+        first = (F.col("new") > 0) & (F.col("mask").bitwiseAND(F.lit(bit)) == 0)
+        self.counters = rows.select("lang", "phrase", "k", (F.col("c") + F.when(first, F.col("new")).otherwise(0)).alias("c"),
+                                    F.when(first, F.col("mask").bitwiseOR(F.lit(bit))).otherwise(F.col("mask")).alias("mask"), "reach")
+
+    def liftable(self, counters: DataFrame) -> DataFrame:
+        """Phrases that small counts, in the shards where they have no other, may lift to the minimum."""
+        missing = self.shards - F.bit_count("mask")
+        return counters.filter((F.col("k") > 0) & (missing > 0) & (F.col("c") + missing * (self.floor - 1) >= self.minimum))
+
+    def small(self, which: DataFrame, scans: int) -> DataFrame:
+        """What the small counts in the log of the last ``scans`` scans add to the phrases of ``which``: (lang, phrase, more)."""
+        log, which = reduce(DataFrame.unionByName, self.log[-scans:]), which.select("lang", "phrase")
+        if which.count() <= BROADCAST_ROWS:
+            which = F.broadcast(which)
+        return log.join(which, ["lang", "phrase"], "left_semi") \
+            .groupBy("lang", "phrase", "shard").agg(F.max("c").alias("c")) \
+            .groupBy("lang", "phrase").agg(F.sum("c").alias("more"))
+
+    def close(self, scan: int, longest: int, with_log: bool) -> DataFrame:
+        """Write the counters, with the phrases reached by this scan marked; those that can have longer ones after them."""
+        rows, total = self.counters, F.col("c")
+        if with_log:
+            rows = stage(rows, "counters")
+            # a cycle that ended since the last look lies within two
+            open_ = self.liftable(rows).filter(f"reach is null and k < {longest} and c < {self.minimum}")
+            rows = rows.join(self.small(open_, 2 * self.shards), ["lang", "phrase"], "left")
+            total = F.col("c") + F.coalesce("more", F.lit(0))
+        now = F.when((total >= self.minimum) & (F.col("k") > 0), F.lit(scan))
+        self.counters = stage(rows.withColumn("reach", F.coalesce("reach", now)).drop("more"), "counters")
+        return self.counters.filter(f"reach is not null and k between 1 and {longest - 1}").select("lang", "phrase", "reach")
+
+    def totals(self) -> DataFrame:
+        more = self.small(self.liftable(self.counters), len(self.log))
+        exact = self.counters.filter("k > 0").join(more, ["lang", "phrase"], "left").select(
+            "lang", "phrase", "k", (F.col("c") + F.coalesce("more", F.lit(0))).alias("c")).filter(f"c >= {self.minimum}")
+        return exact.unionByName(self.counters.filter("k = 0").select("lang", "phrase", "k", "c"))
+
+
 def count_phrases(docs: DataFrame, minimum: int, longest: int = LONGEST, shards: int = SHARDS,
-                  flush_words: int = FLUSH_WORDS) -> DataFrame:
+                  block_words: int = BLOCK_WORDS) -> DataFrame:
     """(lang, phrase, k, c) of all phrases of up to ``longest`` words that occur at least ``minimum`` times in their language;
     k = 0 holds the words of the language altogether."""
     spark = docs.sparkSession
-    path = new_path(spark, "shards")
-    docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), text_of().alias("text"),
-                F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int").alias("shard")) \
-        .write.option("compression", "zstd").partitionBy("shard").parquet(path)
-    texts = spark.read.schema("lang string, text string, shard int").parquet(path)
-    counters, gate, last, scan = None, None, 0, 0
-    while scan < shards or scan < last + shards:
+    path = new_path(spark, "blocks")
+    docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), text_of().alias("text")) \
+        .mapInArrow(_blocks(shards, block_words), BLOCKS).write.option("compression", "zstd").partitionBy("shard").parquet(path)
+    blocks = spark.read.schema("words binary, langs binary, names string, x binary, shard int").parquet(path)
+    counts, gate, last, scan, settled = _Counts(spark, minimum, shards), None, 0, 0, False
+    while scan < shards or scan < last + shards or not settled:
         scan += 1
-        bit = 1 << (scan - 1) % shards
-        rows = texts.filter(F.col("shard") == (scan - 1) % shards).select("lang", "text") \
-            .mapInArrow(_scanner(scan, shards, longest, gate, flush_words), COUNTERS) \
-            .select("lang", "phrase", "k", "since", F.col("c").alias("fresh"), F.lit(0).cast("long").alias("c"),
-                    F.lit(0).alias("mask"), F.lit(None).cast("int").alias("reach"))
-        if counters is not None:
-            rows = rows.unionByName(counters.withColumn("fresh", F.lit(0).cast("long")))
-        rows = rows.groupBy("lang", "phrase").agg(F.max("k").alias("k"), F.max("since").alias("since"), F.sum("fresh").alias("fresh"),
-                                                  F.max("c").alias("c"), F.max("mask").alias("mask"), F.max("reach").alias("reach"))
-        new = (F.col("fresh") > 0) & (F.col("mask").bitwiseAND(F.lit(bit)) == 0)
-        rows = rows.select("lang", "phrase", "k", "since", (F.col("c") + F.when(new, F.col("fresh")).otherwise(0)).alias("c"),
-                           F.when(new, F.col("mask").bitwiseOR(F.lit(bit))).otherwise(F.col("mask")).alias("mask"), "reach")
-        open_ = (F.col("c") >= minimum) | (F.col("k") == 0) | (F.col("since") == AMBIGUOUS) | (F.col("since") + shards > scan)
-        counters = stage(rows.filter(open_).withColumn("reach", F.coalesce(
-            "reach", F.when((F.col("c") >= minimum) & (F.col("k") > 0), F.lit(scan)))), "counters")
-        reached = counters.filter(f"reach is not null and k between 1 and {longest - 1}").select("lang", "phrase", "reach")
+        shard = (scan - 1) % shards
+        counts.add(blocks.filter(F.col("shard") == shard).drop("shard").mapInArrow(
+            _scanner(scan, shards, longest, gate), COUNTERS), shard)
+        # at the end of a cycle, and before the end of all, the log may lift phrases to the minimum
+        settled = shard == shards - 1 or scan >= max(shards, last + shards)
+        reached = counts.close(scan, longest, settled)
         how_many, latest = reached.agg(F.count("*"), F.max("reach")).first()
         if latest == scan:
             last = scan
             if gate is not None:
                 gate.destroy()
             gate = _gate(reached, how_many)
-    return counters.filter((F.col("c") >= minimum) | (F.col("k") == 0)).select("lang", "phrase", "k", "c")
+    return counts.totals()
 
 
 def _part(first: Column | int, length: Column | int) -> Column:
@@ -265,6 +341,6 @@ def score_phrases(counted: DataFrame, best: int) -> DataFrame:
 
 
 def collocations(docs: DataFrame, minimum: int = 100, best: int = 2000, longest: int = LONGEST, shards: int = SHARDS,
-                 flush_words: int = FLUSH_WORDS) -> DataFrame:
-    counted = stage(count_phrases(docs, minimum, longest, shards, flush_words), "phrases")
+                 block_words: int = BLOCK_WORDS) -> DataFrame:
+    counted = stage(count_phrases(docs, minimum, longest, shards, block_words), "phrases")
     return score_phrases(counted, best)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tabwright.llm.common import carried, text_of
 from tabwright.llm.token_output import text_batches
-from tabwright.llm.tokens import worker_memory
+from tabwright.llm.tokens import Recent, worker_memory
 
 #: Units a worker remembers in each of two generations.
 UNITS = 250_000
@@ -57,21 +57,6 @@ _CONTRACTION = re.compile(_ENDINGS)
 _STANDS_FOR = {"letter": "\u00e9", "digit": "\u00b2", "other": "\u00a7", "white": "\u2003"}
 
 
-class Recent(dict):
-    """A bounded memo that forgets by use: two generations; what is asked for moves to the young one, and when that is full
-    it becomes the old one and the old one goes."""
-
-    def __init__(self, limit: int):
-        super().__init__()
-        self.limit, self.old = limit, {}
-
-    def put(self, key, value) -> None:
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-
-
 def _byte_letters() -> dict[str, int]:
     """The letters that stand for bytes in a byte-level vocabulary: printable bytes are themselves, the others follow
     from 256 on."""

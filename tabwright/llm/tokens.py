@@ -1,8 +1,9 @@
 """Token ids of whole texts by the ``tokenizers`` library, with a memo of the chunks between spaces.
 
 A space between two other characters is always a boundary of the tokenizers used here, so ids of the
-chunks between such spaces put together are the ids of the text. Each worker remembers the ids of chunks;
-common ones are encoded once. The memo is bounded and only saves time: chunks beyond it are encoded anew.
+chunks between such spaces put together are the ids of the text. Each worker remembers the ids of chunks. The memo is bounded
+and forgets by use (``Recent``); it only saves time, what it does not hold is encoded anew. New words of plain letters are
+encoded many at a time, put together with spaces: which token begins or ends a word shows in the token itself.
 """
 
 from __future__ import annotations
@@ -15,8 +16,10 @@ from array import array
 
 import numpy as np
 
-#: Chunks a worker remembers (about 200 bytes each).
-MEMO = 500_000
+#: Chunks a worker remembers in each of two generations (about 200 bytes each).
+MEMO = 400_000
+#: New words encoded as one text.
+TOGETHER = 128
 #: Punctuation at a chunk's end that may be split off: never part of a contraction (fixed values).
 TAIL = ".,;:!?%$&*#|"
 
@@ -35,6 +38,28 @@ def worker_memory() -> dict:
     return sys.modules[name].__dict__
 
 
+class Recent(dict):
+    """A bounded memo that forgets by use: two generations; what is asked for moves to the young one (``put``), and when that is
+    full it becomes the old one and the old one goes."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.old = limit, {}
+
+    def put(self, key, value) -> None:
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+
+    def put_all(self, entries: dict) -> None:
+        """All of ``entries``; the limit may be passed by as many."""
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self.update(entries)
+
+
 def encoder(path: str, keeps_space: bool) -> Encoder:
     """An encoder for the tokenizer file at ``path``; it shares tokenizer and memo with this worker's earlier tasks.
 
@@ -44,13 +69,17 @@ def encoder(path: str, keeps_space: bool) -> Encoder:
     if key not in memory:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        memory[key] = Tokenizer.from_file(path), {}
-    return Encoder(*memory[key], keeps_space)
+        memory[key] = Encoder(Tokenizer.from_file(path), Recent(MEMO), keeps_space)
+    return memory[key]
 
 
 class Encoder:
-    def __init__(self, tokenizer, memo: dict[str | tuple[str], bytes], keeps_space: bool):
+    def __init__(self, tokenizer, memo: Recent, keeps_space: bool):
         self.tokenizer, self.memo, self.keeps_space = tokenizer, memo, keeps_space
+        vocab = tokenizer.get_vocab(with_added_tokens=False)
+        #: Whether a token is the first (byte-level: it holds the space) or the last (word ends) one of its word.
+        self.edge = np.zeros(max(vocab.values(), default=0) + 1, dtype=bool)
+        self.edge[[i for t, i in vocab.items() if (t.startswith("\u0120") if keeps_space else t.endswith("</w>"))]] = True
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -58,55 +87,72 @@ class Encoder:
             return [array("I", e.ids).tobytes() for e in found]
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
-    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """Ids of chunks outside the memo; their punctuation at the end is looked up apart, as a tuple of one."""
-        memo, split, wanted = self.memo, {}, set()
-        for chunk in chunks:
-            base = chunk.rstrip(TAIL)
-            if base and base[-1].isalnum():
-                split[chunk] = base, chunk[len(base):]
-                wanted.add(base)
-                wanted.add((split[chunk][1],)) if split[chunk][1] else None
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of plain letters, each as if after a space (where the tokenizer keeps it)."""
+        lead, out = " " if self.keeps_space else "", []
+        parts = [words[i:i + TOGETHER] for i in range(0, len(words), TOGETHER)]
+        for part, data in zip(parts, self._direct([lead + " ".join(p) for p in parts]), strict=True):
+            ids = np.frombuffer(data, dtype="<u4")
+            cuts = np.flatnonzero(self.edge[ids] if len(ids) and ids.max() < len(self.edge) else ids < 0)
+            ends = [*cuts[1:].tolist(), len(ids)] if self.keeps_space else (cuts + 1).tolist()
+            if len(ends) == len(part) and ends[-1] == len(ids) and (not self.keeps_space or cuts[0] == 0):
+                out += [data[4 * a:4 * b] for a, b in zip([0, *ends], ends)]
             else:
-                split[chunk] = chunk, ""
-                wanted.add(chunk)
-        new = [w for w in wanted if w not in memo]
-        lead = " " if self.keeps_space else ""
-        found = dict(zip(new, self._direct([w[0] if isinstance(w, tuple) else lead + w for w in new]), strict=True))
-        if len(memo) + len(found) <= MEMO:
-            memo.update(found)
+                out += self._direct([lead + w for w in part])
+        return out
+
+    def _known(self, keys: list, fresh: dict) -> dict:
+        """What the memo or ``fresh`` holds of ``keys``; white space alone may have no ids, so presence decides, not the value."""
         out = {}
-        for chunk, (base, tail) in split.items():
-            # white space alone may have no ids, so presence decides, not the value
-            ids = found[base] if base in found else memo[base]
-            if tail:
-                ids += found[(tail,)] if (tail,) in found else memo[(tail,)]
-            out[chunk] = ids
-        if len(memo) + len(out) <= MEMO:
-            memo.update(out)
+        for source in (self.memo, self.memo.old, fresh):
+            found = list(map(source.get, keys))
+            out.update((k, v) for k, v in zip(keys, found, strict=True) if v is not None)
+            keys = [k for k, v in zip(keys, found, strict=True) if v is None]
+            if not keys:
+                break
+        return out
+
+    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
+        """Ids of chunks that are not young in the memo; punctuation at the end of one is looked up apart, as a tuple of one."""
+        old = self.memo.old
+        out = {c: old[c] for c in chunks if c in old} if old else {}
+        unknown = [c for c in chunks if c not in out]
+        plain = [c for c in unknown if c.isascii() and c.isalpha()]
+        out.update(zip(plain, self._words(plain), strict=True))
+        bases = [c.rstrip(TAIL) for c in unknown]
+        split = [(c, b) if b and b[-1].isalnum() else (c, c) for c, b in zip(unknown, bases, strict=True) if c not in out]
+        wanted = {b for _, b in split} | {(c[len(b):],) for c, b in split if b is not c}
+        parts = self._known(list(wanted), out)
+        new = [w for w in wanted if w not in parts]
+        plain = [w for w in new if isinstance(w, str) and w.isascii() and w.isalpha()]
+        made = dict(zip(plain, self._words(plain), strict=True))
+        rest, lead = [w for w in new if w not in made], " " if self.keeps_space else ""
+        made.update(zip(rest, self._direct([w[0] if isinstance(w, tuple) else lead + w for w in rest]), strict=True))
+        parts.update(made)
+        out.update((c, parts[b] if b is c else parts[b] + parts[c[len(b):],]) for c, b in split)
+        self.memo.put_all(made)
+        self.memo.put_all(out)
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        memo, cut = self.memo, []
+        cut, words = [], set()
         for text in texts:
             if not self.keeps_space:
-                cut.append(("", [x for x in text.replace("\n", " ").split(" ") if x]))
+                head, rest = "", text.replace("\n", " ").split(" ")
             elif any(x in text for x in _DOUBLE) or _RARE.search(text) or text[:1] == " " or text[-1:] == " ":
                 head, *rest = _CUT.split(text)
-                cut.append((head, rest))
             else:
                 head, *rest = text.split(" ")
-                cut.append((head, rest))
-        held = [list(map(memo.get, rest)) for _, rest in cut]
-        missing = {x for (_, rest), ids in zip(cut, held, strict=True) if None in ids
-                   for x, own in zip(rest, ids, strict=True) if own is None}
-        fresh = self._learn(missing) if missing else {}
+            cut.append((head, rest))
+            words.update(rest)
+        # the chunks of these texts once each: a look-up in what they need is cheaper than one in the whole memo
+        words.discard("")
+        words = list(words)
+        ids = dict(zip(words, map(self.memo.get, words), strict=True))
+        missing = {w for w, own in ids.items() if own is None}
+        if missing:
+            ids.update(self._learn(missing))
+        ids[""] = b""
         heads = iter(self._direct([head for head, _ in cut if head]))
-        out = []
-        for (head, rest), ids in zip(cut, held, strict=True):
-            if None in ids:
-                ids = [fresh[x] if own is None else own for x, own in zip(rest, ids, strict=True)]
-            body = b"".join(ids)
-            out.append(next(heads) + body if head else body)
-        return out
+        return [(next(heads) if head else b"") + b"".join(map(ids.__getitem__, rest)) for head, rest in cut]
