@@ -229,23 +229,41 @@ def _arrow_chunk(df, programs, features, target, m, weight, functions, transform
                 f = np.broadcast_to(np.asarray(to_vector(nodes, x, functions), dtype=float), y.shape)
                 if squash:
                     f = sig(f)
-                masks = [train]
-                inside = None
-                if bag and bag[2] < 1.0:
-                    inside = _draw_vector(k, pid, bag[1]) < bag[2]
-                    masks = [np.where(inside, train, 0.0)]
-                if val:
-                    masks.append(np.where(v, w, 0.0))
-                if inside is not None:
-                    masks.append(np.where(inside, 0.0, train))
-                for part, wt in enumerate(masks):
-                    held[(pid, part)] = _merge(held.get((pid, part)), _sums(kind, y, f, wt))
+                accumulate(held, pid, kind, y, f, row_weights(pid, train, w, v, k, val, bag))
         if held:
-            yield pd.DataFrame([(p, q, *s) for (p, q), s in held.items()],
-                               columns=["program_id", "part", "sw", "my", "mf", "yy", "ff", "yf"])
+            yield sums_frame(held)
 
-    sums = rows.mapInPandas(partial, "program_id int, part int, sw double, my double, mf double, "
-                                     "yy double, ff double, yf double")
+    return fitness(rows.mapInPandas(partial, SUMS), kind, names)
+
+
+SUMS = "program_id int, part int, sw double, my double, mf double, yy double, ff double, yf double"
+
+
+def row_weights(pid, train, w, v, k, val, bag) -> list[np.ndarray]:
+    """Weights of the rows for each reported fitness of a program, on arrays (see ``_parts``)."""
+    masks, inside = [train], None
+    if bag and bag[2] < 1.0:
+        inside = _draw_vector(k, pid, bag[1]) < bag[2]
+        masks = [np.where(inside, train, 0.0)]
+    if val:
+        masks.append(np.where(v, w, 0.0))
+    if inside is not None:
+        masks.append(np.where(inside, 0.0, train))
+    return masks
+
+
+def accumulate(held: dict, pid: int, kind: str, y, f, masks: list[np.ndarray]) -> None:
+    for part, wt in enumerate(masks):
+        held[(pid, part)] = _merge(held.get((pid, part)), _sums(kind, y, f, wt))
+
+
+def sums_frame(held: dict) -> pd.DataFrame:
+    return pd.DataFrame([(p, q, *s) for (p, q), s in held.items()],
+                        columns=["program_id", "part", "sw", "my", "mf", "yy", "ff", "yf"])
+
+
+def fitness(sums: DataFrame, kind: str, names: list[str]) -> DataFrame:
+    """Fitness of each program from the sums of all tasks (``SUMS``)."""
     if kind == "pearson":
         # centre every task's sums on the common mean before adding them (rows: programs x tasks)
         g = Window.partitionBy("program_id", "part")

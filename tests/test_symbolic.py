@@ -284,3 +284,40 @@ def test_wheel_without_positive_shares_is_even(spark):
     got = population.wheel(pop, F.col("fitness")).orderBy("program_id").collect()
     assert [r["hi"] for r in got] == [0.25, 0.5, 0.75, 1.0]
     assert population.wheel(pop.limit(0), F.col("fitness")).count() == 0
+
+
+SEMANTIC = dict(population_size=30, generations=5, probabilities={"gs_crossover": 0.6, "gs_mutation": 0.3}, selection="tournament",
+                tournament_size=3, init_depth=(1, 2), val_share=0.2, seed=11)
+
+
+@pytest.mark.parametrize("more", [{}, {"max_samples": 0.8, "metric": "rmse", "gsm_ms": 0.3}, {"metric": "pearson", "function_set": (
+    "add", "mul", "sqrt")}])
+def test_vectors_give_the_fitness_of_the_trees(obs, more, monkeypatch):
+    from tabwright.operators import semantics
+    monkeypatch.setattr(semantics, "BLOCK_BYTES", 8 * 30 * 100)                # blocks of a hundred rows
+    kw = dict(features=["f_tax", "f_size"], target="signal", key="k", unique_key=OBS_KEY)
+    trees = symbolic.SymbolicRegressor(**SEMANTIC, **more).fit(obs, **kw)
+    vectors = symbolic.SymbolicRegressor(**SEMANTIC, **more, vectors=True).fit(obs, **kw)
+    columns = ["program_id", "method", "parent_id", "donor_id", "length", "depth", "raw_fitness", "val_fitness"]
+    a, b = (e.population_.select(*columns).toPandas().sort_values("program_id", ignore_index=True) for e in (trees, vectors))
+    if "max_samples" not in more:                                              # bags follow the place, which trees do not sort
+        pd.testing.assert_frame_equal(a[columns[:6]].fillna(-1), b[columns[:6]].fillna(-1), check_dtype=False)
+        np.testing.assert_allclose(b[columns[6:]].to_numpy(float), a[columns[6:]].to_numpy(float), rtol=1e-9)
+        got, want = (e.transform(obs).select(*OBS_KEY, "prediction").orderBy(*OBS_KEY).toPandas().prediction for e in (vectors, trees))
+        np.testing.assert_allclose(got, want, rtol=1e-9)
+    best = b.raw_fitness.max() if vectors._metric.greater_is_better else b.raw_fitness.min()
+    train = vectors._rows.filter(~F.col("is_val"))
+    if "max_samples" not in more and more.get("metric") != "pearson":
+        mae = vectors.transform(train).agg(F.avg(F.abs(F.col("signal") - F.col("prediction")))).first()[0]
+        assert mae == pytest.approx(best, rel=1e-9)
+
+
+def test_vectors_evaluate_each_fresh_program_once(obs, monkeypatch):
+    est = symbolic.SymbolicRegressor(**{**SEMANTIC, "generations": 12}, vectors=True).fit(
+        obs, ["f_tax", "f_size"], "signal", "k", OBS_KEY)
+    last = est.population_.agg(F.max("length")).first()[0]
+    stored = sum(len(o.nodes) for origins in est._store.lineage for o in origins)
+    assert last > 20 * stored / 12 and est.program_ is None            # the trees would be far larger than what was evaluated
+    assert est.transform(obs).filter("prediction is null").count() == 0
+    with pytest.raises(ValueError):
+        symbolic.SymbolicRegressor(vectors=True).fit(obs, ["f_tax"], "signal", "k", OBS_KEY)
