@@ -272,7 +272,7 @@ class _Reader:
 def stored(index: DataFrame) -> DataFrame:
     """The index, written with a row group a shard, so that a reader holds no more than one of them."""
     spark, path = index.sparkSession, new_path(index.sparkSession, "index")
-    index.write.option("parquet.block.row.count.limit", 1).parquet(path)
+    index.write.option("parquet.block.row.count.limit", 1).option("compression", "zstd").parquet(path)
     return spark.read.schema(INDEX).parquet(path)
 
 
