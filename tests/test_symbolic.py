@@ -1,6 +1,7 @@
 """Expressions, scoring, breeding and the estimators."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
