@@ -271,10 +271,13 @@ def fitness(sums: DataFrame, kind: str, names: list[str]) -> DataFrame:
         a = F.col("my") - F.sum(F.col("sw") * F.col("my")).over(g) / all_w
         b = F.col("mf") - F.sum(F.col("sw") * F.col("mf")).over(g) / all_w
         sums = sums.filter("sw > 0").select(
-            "program_id", "part", (F.col("yy") + F.col("sw") * a * a).alias("yy"),
+            "program_id", "part", (F.col("sw") * F.col("my") * F.col("my")).alias("y2"),
+            (F.col("sw") * F.col("mf") * F.col("mf")).alias("f2"), (F.col("yy") + F.col("sw") * a * a).alias("yy"),
             (F.col("ff") + F.col("sw") * b * b).alias("ff"), (F.col("yf") + F.col("sw") * a * b).alias("yf"))
         r = F.abs(F.try_divide(F.sum("yf"), F.sqrt(F.sum("yy")) * F.sqrt(F.sum("ff"))))
-        value = F.coalesce(F.when(~F.isnan(r), r), F.lit(0.0))
+        # below this share of the squared means a variance is the rounding of a constant
+        varies = (F.sum("yy") > 1e-26 * F.sum("y2")) & (F.sum("ff") > 1e-26 * F.sum("f2"))
+        value = F.coalesce(F.when(~F.isnan(r) & varies, r), F.lit(0.0))
     else:
         value = F.try_divide(F.sum("yf"), F.sum("sw"))
         if kind == "root":
