@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tabwright.operators import quantiles
+from tabwright.operators import grove, outliers, quantiles, trees
 from tabwright.plans.queries import REGISTRY
 
 
@@ -32,3 +32,33 @@ def test_quantiles_read_the_rows_a_few_times_whatever_the_number_of_ranks(spark)
 @pytest.mark.parametrize("name", ["pca80", "winsorize_5_95", "outlier_iqr17", "quantile_bins", "ica", "isolation_forest"])
 def test_queries_of_several_passes_join_the_tables_once(spark, sf_dir, name):
     assert "Join" not in REGISTRY[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_records_of_boosted_rows_stay_small(spark, obs, monkeypatch):
+    sizes = []
+
+    def kept(df):
+        found = real(df)
+        sizes.extend(r[0] for r in found[0].selectExpr("octet_length(state)").collect())
+        return found
+    real = grove._written
+    monkeypatch.setattr(grove, "_written", kept)
+    rows = trees.hashed_folds(obs.filter("signal is not null").select("k", "f_size", "f_tax", "signal"), "k", 2, 1)
+    grove.boosting_errors(rows, ["f_size", "f_tax"], "signal", "k", "_fold", 2, [1], [i / 100 for i in range(1, 31)], [2])
+    # 60 sequences: whole blocks of rows were megabytes a record
+    assert len(sizes) > 2 and max(sizes) <= 8 * grove.RECORD_CELLS
+
+
+def test_isolation_scores_are_mean_depths(spark):
+    x = np.random.default_rng(3).normal(size=(300, 2))
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "i long, a double, b double")
+    model = outliers.fit_isolation_forest(df, ["i"], ["a", "b"], 3, n_trees=7, sample=64)
+    got = [r[0] for r in df.withColumn("s", model.score()).orderBy("i").select("s").collect()]
+
+    def reached(v, feature, cut, left, reach):
+        node = 0
+        while feature[node] >= 0:
+            node = left[node] + (v[feature[node]] > cut[node])
+        return reach[node]
+    depths = np.array([sum(reached(v, *t) for t in model.trees) for v in x])
+    assert len(model.trees) == 7 and got == pytest.approx(np.exp2(-depths / 7 / outliers._mean_path(64)).tolist(), rel=1e-12)
