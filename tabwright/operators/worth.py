@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +16,7 @@ from tabwright.operators.quality import distinct_counts, report
 from tabwright.operators.quantiles import quantiles
 from tabwright.operators.scaling import (PowerModel, equal_width_bins, fit_minmax, power_bins,
                                          quantile_edges, right_closed)
+from tabwright.session import stage
 
 MAX_BIN = 10
 FORCE_BIN = 3
@@ -151,36 +155,75 @@ def _forced_edges(at: dict[float, float]) -> list[float]:
     return sorted(set(edges))
 
 
+def _place_sums(df: DataFrame, cols: list[str], points: list[np.ndarray], target: str) -> DataFrame:
+    """Rows, events and extremes of each column (``which``) by place: 0 for NULL, 2i + 2 at point i, odd ones between points."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = [2 * len(p) + 2 for p in points]
+        held = [(np.zeros(n, dtype=np.int64), np.zeros(n), np.full(n, np.nan), np.full(n, -np.inf)) for n in sizes]
+        for batch in batches:
+            y = batch.column(len(points)).to_numpy(zero_copy_only=False)
+            for j, (count, event, low, high) in enumerate(held):
+                column = batch.column(j)
+                x = column.to_numpy(zero_copy_only=False)
+                place = 1 + np.searchsorted(points[j], x, "left") + np.searchsorted(points[j], x, "right")
+                place[column.is_null().to_numpy(zero_copy_only=False)] = 0
+                order = place.astype(np.int16).argsort(kind="stable")
+                found, first = np.unique(place[order], return_index=True)
+                count += np.bincount(place, minlength=sizes[j])
+                event += np.bincount(place, y, sizes[j])
+                low[found] = np.fmin(low[found], np.fmin.reduceat(x[order], first))
+                high[found] = np.maximum(high[found], np.maximum.reduceat(x[order], first))
+        for j, (count, event, low, high) in enumerate(held):
+            own = np.flatnonzero(count)
+            none = own == 0
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(own), j, dtype=np.int32)), pa.array(own.astype(np.int32)), pa.array(count[own]),
+                 pa.array(event[own]), pa.array(low[own], mask=none), pa.array(high[own], mask=none)],
+                ["which", "place", "count", "event", "min_value", "max_value"])
+
+    rows = df.filter(F.col(target).isNotNull()).select(
+        *[F.col(c).cast("double").alias(f"x{j}") for j, c in enumerate(cols)], F.col(target).cast("double").alias("y"))
+    return rows.mapInArrow(run, "which int, place int, count long, event double, min_value double, max_value double").groupBy(
+        "which", "place").agg(F.sum("count").alias("count"), F.sum("event").alias("event"),
+                              F.min("min_value").alias("min_value"), F.max("max_value").alias("max_value"))
+
+
+def _bins_of_places(points: np.ndarray, edges: list[float]) -> list[int | None]:
+    """For each place the bin that ``right_closed`` gives its values, or 0 for all of them if there is one edge only."""
+    if len(edges) == 1:
+        return [None] + [0] * (2 * len(points) + 1)
+    below = np.searchsorted(edges, points, "left")             # edges below each point
+    below[points == edges[0]] = 1                              # the first edge belongs to the first bin
+    between = np.searchsorted(edges, points, "right")          # edges below what follows each point
+    at = [0, *np.stack([below, between], axis=1).ravel().tolist()]
+    return [None] + [b - 1 if 0 < b < len(edges) else None for b in at]
+
+
 def monotone_bins(df: DataFrame, cols: list[str], target: str, max_bin: int = MAX_BIN) -> DataFrame:
     """Counts and events in the finest quantile bins whose mean targets are strictly monotone.
 
-    All bin numbers of all features are tried in one pass: a row turns into one small record
-    per (feature, bin number), which are summed before the shuffle.
+    All bin numbers of all features are tried in one pass: each task sums its rows between and at the edges of all bin numbers
+    of a feature, and bins are put together from these sums.
     """
     probs = sorted({i / n for n in range(1, max_bin + 1) for i in range(n + 1)})
     q = quantiles(df, cols, probs)
-    cells, complete = [], []
+    tried = []
     for c in cols:
         at = dict(zip(probs, q[c]))
         if at[0.0] is None:
             continue
-        cells.append((c, 0, F.when(F.col(c).isNull(), F.lit(0))))
-        for n in range(2, max_bin + 1):
-            edges = [at[i / n] for i in range(n + 1)]
-            if len(set(edges)) == n + 1:
-                cells.append((c, n, right_closed(F.col(c), edges)))
-        edges = _forced_edges(at)
-        cells.append((c, 1, right_closed(F.col(c), edges) if len(edges) > 1 else F.when(
-            F.col(c).isNotNull(), F.lit(0))))
-    made = F.array(*[F.when(b.isNotNull(), F.struct(
-        F.lit(c).alias("var_name"), F.lit(n).alias("bins"), b.alias("bin"),
-        F.col(c).cast("double").alias("x"))) for c, n, b in cells])
-    long = df.filter(F.col(target).isNotNull()).select(
-        F.explode(F.array_compact(made)).alias("s"), F.col(target).cast("double").alias("y")).select(
-        "s.*", "y")
-    grouped = long.groupBy("var_name", "bins", "bin").agg(
-        F.count(F.lit(1)).alias("count"), F.sum("y").alias("event"), F.min("x").alias("min_value"),
-        F.max("x").alias("max_value"))
+        fine = [[at[i / n] for i in range(n + 1)] for n in range(2, max_bin + 1)]
+        tried.append((c, [(1, _forced_edges(at)), *((len(e) - 1, e) for e in fine if len(set(e)) == len(e))]))
+    points = [np.unique(np.concatenate([e for _, e in kinds])) for _, kinds in tried]
+    sums = stage(_place_sums(df, [c for c, _ in tried], points, target), "places")
+    places = [(i, p, c, n, b) for i, (c, kinds) in enumerate(tried)
+              for n, at in [(0, [0] + [None] * (2 * len(points[i]) + 1)), *((n, _bins_of_places(points[i], e)) for n, e in kinds)]
+              for p, b in enumerate(at) if b is not None]
+    # at most a few hundred places per feature
+    grouped = sums.join(F.broadcast(report(df.sparkSession, places, "which int, place int, var_name string, bins int, bin int")),
+                        ["which", "place"]).groupBy("var_name", "bins", "bin").agg(
+        F.sum("count").alias("count"), F.sum("event").alias("event"), F.min("min_value").alias("min_value"),
+        F.max("max_value").alias("max_value"))
     # at most max_bin rows per (feature, bin number)
     w = Window.partitionBy("var_name", "bins").orderBy("bin")
     step = F.col("event") / F.col("count") - F.lag(F.col("event") / F.col("count")).over(w)

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tabwright.operators import grove, outliers, quantiles, trees
+from tabwright.operators import grove, outliers, quantiles, trees, worth
 from tabwright.plans.queries import REGISTRY
 
 
@@ -62,3 +62,19 @@ def test_isolation_scores_are_mean_depths(spark):
         return reach[node]
     depths = np.array([sum(reached(v, *t) for t in model.trees) for v in x])
     assert len(model.trees) == 7 and got == pytest.approx(np.exp2(-depths / 7 / outliers._mean_path(64)).tolist(), rel=1e-12)
+
+
+def test_monotone_bins_read_the_rows_once(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    rows = [(float(v) if i % 9 else None, float(i % 4 == 0), float(r.random() < 0.5 + 0.1 * v)) for i, v in enumerate(r.normal(size=800))]
+    plain = spark.createDataFrame(rows, "x double, z double, y double").repartition(4)
+    df, seen = counted(spark, plain)
+    real = worth.quantiles
+    monkeypatch.setattr(worth, "quantiles", lambda _, *more: real(plain, *more))
+    got = worth.monotone_bins(df, ["x", "z"], "y").collect()
+    assert seen.value == len(rows)                   # it was twice, and a record a row, feature and number of bins
+    for name, own in (("x", [(a, y) for a, _, y in rows]), ("z", [(b, y) for _, b, y in rows])):
+        for g in (g for g in got if g.var_name == name):
+            inside = [y for v, y in own if (v is None if g.min_value is None else v is not None and g.min_value <= v <= g.max_value)]
+            assert (g["count"], g.event) == (len(inside), sum(inside))
+        assert sum(g["count"] for g in got if g.var_name == name) == len(rows)
