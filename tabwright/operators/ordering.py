@@ -74,19 +74,20 @@ def after(order: list[str], cut: tuple) -> Column:
     return result
 
 
-def slot(order: list[str], cuts: list[tuple]) -> Column:
-    """How many of the sorted ``cuts`` the row's key lies strictly after.
+def with_slot(df: DataFrame, order: list[str], cuts: list[tuple], out: str) -> DataFrame:
+    """Add ``out``: how many of the sorted ``cuts`` the row's key lies strictly after.
 
-    A binary search over one literal array, so that the expression stays small whatever the
-    number of cuts (a CASE chain over 100 composite keys no longer compiles).
+    A binary search over one literal array, a column a step: all of it is generated code (a fold over the steps is
+    interpreted, and a CASE chain over 100 composite keys no longer compiles).
     """
-    if not cuts:
-        return F.lit(0)
-    key = F.struct(*[F.col(c).alias(c) for c in order])
+    steps = [f"_at{i}" for i in reversed(range(len(cuts).bit_length()))]
     table = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(order, cut)]) for cut in cuts])
-    widths = [1 << i for i in reversed(range(len(cuts).bit_length()))]
-    return F.aggregate(F.array(*[F.lit(w) for w in widths]), F.lit(0), lambda at, w: F.when(
-        (at + w <= len(cuts)) & (key > F.try_element_at(table, at + w)), at + w).otherwise(at))
+    df, at = df.withColumn("_key", F.struct(*[F.col(c).alias(c) for c in order])), F.lit(0)
+    for name in steps:
+        to = at + (1 << int(name[3:]))
+        df = df.withColumn(name, F.when((to <= len(cuts)) & (F.col("_key") > F.try_element_at(table, to)), to).otherwise(at))
+        at = F.col(name)
+    return df.withColumn(out, at).drop("_key", *steps)
 
 
 def value_ranks(df: DataFrame, value: str, weight: Column | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabwright.functions.draws import drawn, uniform
-from tabwright.operators.ordering import after, keys_at, slot
+from tabwright.operators.ordering import after, keys_at, with_slot
 
 
 def test_flag(key: str, seed, test_size: float = 0.1) -> Column:
@@ -70,7 +70,7 @@ def kfold(df: DataFrame, order: list[str], k: int, out: str = "fold") -> DataFra
     cuts, n = keys_at(df, order, ends)
     if n < k:
         raise ValueError(f"{k} folds need at least {k} rows, got {n}")
-    return df.withColumn(out, slot(order, [cuts[p] for p in ends(n)]))
+    return with_slot(df, order, [cuts[p] for p in ends(n)], out)
 
 
 def random_subset(df: DataFrame, key: str, row_share: float, col_share: float, seed: int,
