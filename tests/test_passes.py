@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tabwright.operators import grove, outliers, quantiles, trees, worth
+from tabwright.operators import grove, outliers, quantiles, splits, synthetic, trees, worth
 from tabwright.plans.queries import REGISTRY
 
 
@@ -78,3 +78,29 @@ def test_monotone_bins_read_the_rows_once(spark, monkeypatch):
             inside = [y for v, y in own if (v is None if g.min_value is None else v is not None and g.min_value <= v <= g.max_value)]
             assert (g["count"], g.event) == (len(inside), sum(inside))
         assert sum(g["count"] for g in got if g.var_name == name) == len(rows)
+
+
+def test_clusters_of_several_k_move_together(spark, monkeypatch):
+    x = np.random.default_rng(8).normal(size=(600, 2)) + np.repeat([[0, 0], [6, 0], [0, 6]], 200, axis=0)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in x] + [(None, 1.0)], "a double, b double").coalesce(1)
+    rounds = []
+    real = synthetic._nearest
+    monkeypatch.setattr(synthetic, "_nearest", lambda centres, middle: rounds.append(len(centres)) or real(centres, middle))
+    got, model = synthetic.kmeans_sweep(df, ["a", "b"], [1, 3, 4, 5], 2)
+    assert rounds[0] == 3                            # a pass serves all k; there was one a round and k
+    cost = {r.k: r.inertia for r in got.collect()}
+    for k in (3, 4, 5):
+        alone, fitted = synthetic.kmeans_sweep(df, ["a", "b"], [k], 2)
+        assert alone.first().inertia == pytest.approx(cost[k], rel=1e-9)
+    assert np.array(model.clusterCenters()) == pytest.approx(np.array(fitted.clusterCenters()), rel=1e-9)
+    a, b = ([r.cluster for r in synthetic.assign_clusters(df, ["a", "b"], m).collect()] for m in (model, fitted))
+    assert a == b and a[-1] is None
+
+
+def test_folds_come_from_generated_code(spark):
+    rows = [(i % 7 if i % 11 else None, float(i % 5), str(i)) for i in range(200)]
+    df = splits.kfold(spark.createDataFrame(rows, "a int, b double, c string"), ["a", "b", "c"], 60)
+    assert "lambda" not in df._jdf.queryExecution().optimizedPlan().toString()      # interpreted, row by row
+    ordered = sorted(df.collect(), key=lambda r: (r.a is not None, r.a or 0, r.b, r.c))
+    ends = np.cumsum(splits.fold_sizes(200, 60))
+    assert [r.fold for r in ordered] == [int(np.searchsorted(ends, i, "right")) for i in range(200)]
