@@ -49,6 +49,31 @@ def test_records_of_boosted_rows_stay_small(spark, obs, monkeypatch):
     assert len(sizes) > 2 and max(sizes) <= 8 * grove.RECORD_CELLS
 
 
+def test_grid_points_with_the_same_trees_share_rows_and_growths(spark, obs, monkeypatch):
+    shipped, growths = [], spark.sparkContext.accumulator(0)
+
+    def kept(df, name="stage"):
+        found = real(df, name)
+        if name == "branches":
+            shipped.append(found.selectExpr("sum(octet_length(pos)) / 4").first()[0])
+        return found
+    real, grow = grove.stage, grove.grow_branch
+    monkeypatch.setattr(grove, "stage", kept)
+    monkeypatch.setattr(grove, "grow_branch", lambda *a, **more: growths.add(1) or grow(*a, **more))
+    rows = trees.hashed_folds(obs.filter("signal is not null").select("k", "f_size", "f_tax", "signal"), "k", 2, 1).cache()
+    grid = dict(counts=[3], depths=[2, 8])
+    plain = grove.forest_errors(rows, ["f_size", "f_tax"], "signal", "k", "_fold", 2, **grid).collect()
+    assert growths.value == 6
+    whole = grove.forest_errors(rows, ["f_size", "f_tax"], "signal", "k", "_fold", 2, **grid, leaves=[1, 2], split_rows=[2, 9]).cache()
+    assert whole.count() == 4 * len(plain)
+    assert shipped[1] == shipped[0]                  # the rows were shipped for each of the four kinds of tree
+    assert growths.value == 6 + 2 * 6                # and grown for each: now a leaf size, stopped earlier for more rows to split
+    for leaf, split in ((1, 2), (1, 9), (2, 2), (2, 9)):
+        alone = grove.forest_errors(rows, ["f_size", "f_tax"], "signal", "k", "_fold", 2, **grid, leaves=[leaf], split_rows=[split])
+        key = lambda df: [(r.maxDepth, r.fold, r.mae) for r in df.orderBy("maxDepth", "fold").collect()]             # noqa: E731
+        assert key(whole.filter(f"minInstancesPerNode = {leaf} and minRowsToSplit = {split}")) == key(alone)
+
+
 def test_isolation_scores_are_mean_depths(spark):
     x = np.random.default_rng(3).normal(size=(300, 2))
     df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "i long, a double, b double")
