@@ -2,7 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from tabwright import session
 from tabwright.operators import grove, outliers, quantiles, splits, synthetic, trees, worth
 from tabwright.plans.queries import REGISTRY
 
@@ -122,6 +124,24 @@ def test_clusters_of_several_k_move_together(spark, monkeypatch):
     assert a == b and a[-1] is None
 
 
+def test_mllib_gets_rows_in_bounded_partitions(spark, monkeypatch):
+    x = np.random.default_rng(3).normal(size=(600, 3))
+    df = spark.createDataFrame(x.tolist(), "a double, b double, y double").coalesce(1)
+    held = []
+    for kind in (synthetic.KMeans, trees.RandomForestRegressor):
+        def fit(self, rows, real=kind.fit):
+            held.append([r[0] for r in rows.groupBy(F.spark_partition_id()).count().select("count").collect()])
+            return real(self, rows)
+        monkeypatch.setattr(kind, "fit", fit)
+    for most, parts in ((session.TASK_ROWS, 1), (100, max(6, spark.sparkContext.defaultParallelism))):
+        monkeypatch.setattr(session, "TASK_ROWS", most)
+        held.clear()
+        synthetic.kmeans_sweep(df, ["a", "b"], [3], 1)
+        trees.fit_model("forest", df, ["a", "b"], "y", 1, numTrees=2, maxDepth=2)
+        # it was one task with all rows, however many
+        assert [sum(h) for h in held] == [600, 600] and all(len(h) == parts for h in held)
+
+
 def test_folds_come_from_generated_code(spark):
     rows = [(i % 7 if i % 11 else None, float(i % 5), str(i)) for i in range(200)]
     df = splits.kfold(spark.createDataFrame(rows, "a int, b double, c string"), ["a", "b", "c"], 60)
