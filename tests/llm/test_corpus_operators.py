@@ -387,6 +387,34 @@ def test_encoder_keeps_nul_characters(name, keeps_space):
             assert np.frombuffer(data, dtype="<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+@pytest.mark.parametrize("name, keeps_space", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_encoder_at_cuts(name, keeps_space):
+    """Newlines, punctuation, letters beyond ASCII and special tokens side by side: the library's ids."""
+    from tokenizers import Tokenizer
+    plain = Tokenizer.from_file(queries.tokenizer_path(name))
+    encode = tokens.Encoder(plain, tokens.Recent(50), keeps_space).encode
+    texts = ["ab.\nCd, ef!!\n\nGh", "a\n\n\nb c", "a b\n\n", "\na b\n", "\n\na b", "a\n\n<|endoftext|> b", "\u0130. \u0130!? b", "\u00e9t\u00e9, \u00e0.\n\u00e9.",
+             "a\x1fb c", "a\x1e, b", "d'\u00e9t\u00e9's, 's. 't,\n's", "\u0441\u043b\u043e\u0432\u043e, \u4e2d\u6587. 1,2, 3.", "a.\t\nb, c"]
+    for _ in range(2):
+        for text, data in zip(texts, encode(texts), strict=True):
+            assert np.frombuffer(data, dtype="<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+@pytest.mark.parametrize("name, keeps_space", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_encoder_puts_new_words_together(name, keeps_space):
+    """Words with punctuation, behind a newline or with letters beyond ASCII are known by their letters and encoded many at a time."""
+    from tokenizers import Tokenizer
+    plain, asked = Tokenizer.from_file(queries.tokenizer_path(name)), []
+    encoder = tokens.Encoder(plain, tokens.Recent(tokens.MEMO), keeps_space)
+    direct = encoder._direct
+    encoder._direct = lambda texts: asked.extend(texts) or direct(texts)
+    words = [f"{a}{b}\u00e9{c}" for a in "bcdfghjk" for b in "aeiou" for c in "lmnpqrst"]
+    texts = ["Go " + " ".join(words), "Go " + ", ".join(words), "Go\n" + ".\n".join(words)]
+    got = encoder.encode(texts)
+    assert [np.frombuffer(x, dtype="<u4").tolist() for x in got] == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+    assert len(asked) < len(words) / 10
+
+
 def test_best_two_fit_replaces_the_smallest():
     assert sorted(map(sorted, packing.pack(np.array([60, 30, 20, 17]), 100))) == [[17, 20, 60], [30]]
 
